@@ -3,10 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams.  Equal sets collapse to one representative, so
 copies cost a row each and no comparison.  Candidates come from the prefix principle: two sets at Jaccard >= t share
 one of their n - ceil(t n) + 1 rarest grams, rarity being read from a fixed-size histogram (any one global order is
-exact; common passages sort last, so they pull nobody together).  Documents chained by such a gram with compatible
-sizes form blocks; a block's documents meet in tiles of bounded size, keyed by size band, where bitmaps bound each
-overlap from above before sorted arrays are intersected.  Blocks beyond one tile first meet tile by tile with a pivot
-tile; tile pairs already joined into one component are then skipped, all others compared, so no link is lost.
+exact; common passages sort last, so they pull nobody together).  Under each gram, sets stand by size; each is paired
+with up to NEAR neighbours in the size band before it, and each pair is verified once.  Where a gram's band holds
+more, its sets are chained into blocks instead of paired: a block's documents meet in tiles of bounded size, keyed by
+size band, where bitmaps bound each overlap from above before sorted arrays are intersected.  Blocks beyond one tile
+first meet tile by tile with a pivot tile; tile pairs already joined into one component are then skipped, all others
+compared.  So no link is lost, and no group's pairs are written out.
 
 Defined results: null or empty text, or text without words: an empty set, linked with nothing, component its own
 doc_id.  Fewer than n words: the whole sequence is the one gram.  Rows that share a doc_id count as one document;
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 from turnstile.llm import common as cm
 from turnstile.llm import textvec as tv
 
-#: Documents in a tile, and grams in all its sets (8 bytes each); a tile's bitmaps take TILE * BITMAP / 8 bytes.
+#: Documents in a tile, and grams in all its sets (8 bytes each); its bitmaps take about one byte a gram.
 TILE = 1024
 TILE_GRAMS = 4_000_000
+#: Bits of the smallest bitmap; larger sets get 4 bits a gram and more.
 BITMAP = 512
+#: Neighbours that a set is paired with under one gram; beyond them the gram's sets go to tiles.
+NEAR = 48
 #: Postings of one gram that a single sort key takes before it is salted.
 SALT_AT = 200_000
 
@@ -108,43 +113,73 @@ def _band(n: np.ndarray, pct: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / pct)).astype(np.int64)
 
 
-def _chain(pct: int, slack: int):
-    """Edges between neighbours of a (key, salt) run sorted by size; salted runs also hand on one row a size band."""
-    names, types = ["a", "b", "key", "n"], [pa.int64()] * 4
+PAIR, CHAIN, LEAD = 0, 1, 2
+
+
+def _neighbours(pct: int, slack: int, near: int):
+    """Rows sorted by gram (and salt) and size: pairs of close neighbours, chains through crowded bands, band leads.
+
+    A salted gram's sets are always chained, and one of each band leads on to where the salts meet.
+    """
+    names, types = ["kind", "a", "b", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        tail = None
+        carried = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, salt, n, sig = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "salt", "n", "sig"))
-            if tail is not None:
-                key, salt, n, sig = (np.append(t, x) for t, x in zip(tail, (key, salt, n, sig), strict=True))
-            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-            link = same & (sig[1:] != sig[:-1]) & (n[:-1] * 100**slack >= n[1:] * pct**slack)
-            a, b = np.minimum(sig[1:], sig[:-1])[link], np.maximum(sig[1:], sig[:-1])[link]
+            cols = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "salt", "n", "sig")]
+            fresh = 0 if carried is None else len(carried[0])
+            if carried is not None:
+                cols = [np.append(t, x) for t, x in zip(carried, cols, strict=True)]
+            key, salt, n, sig = cols
+            rows = np.arange(len(key))
+            new = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+            group = np.cumsum(new) - 1
+            span = int(n.max()) + 1
+            lo = np.searchsorted(group * span + n, group * span - (-(pct**slack) * n // 100**slack))
+            # Pairs with the nearest rows before, within the size ratio.
+            first = np.maximum(lo, rows - near) if slack == 1 else rows
+            reach = rows - first
+            reach[:fresh] = 0
+            i = np.repeat(rows, reach)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(first, reach)
+            # Rows more crowded than that, and salted or second-round ones, are chained through their whole band.
+            crowded = (lo < first) | (salt >= 0) | (slack > 1)
+            marks = np.zeros(len(rows) + 1, dtype=np.int64)
+            np.add.at(marks, lo[crowded] + 1, 1)
+            np.add.at(marks, rows[crowded] + 1, -1)
+            c = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
             band = _band(n, pct)
-            lead = np.append(tail is None, ~same | (band[1:] != band[:-1])) & (salt >= 0)
-            none = np.full(len(a), None)
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            if len(pairs):
-                none = pa.nulls(len(pairs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], names=names)
-            if lead.any():
-                nothing = pa.nulls(int(lead.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(sig[lead]), nothing, pa.array(key[lead]), pa.array(n[lead])], names=names)
-            tail = [x[-1:] for x in (key, salt, n, sig)]
+            lead = np.flatnonzero((salt >= 0) & (new | np.append(True, band[1:] != band[:-1])) & (rows >= fresh))
+            kinds = []
+            for kind, x, y in ((PAIR, i, j), (CHAIN, c, c - 1)):
+                ends = np.stack([np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])], 1)
+                ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+                kinds.append((np.full(len(ends), kind), ends[:, 0], ends[:, 1], np.zeros(len(ends), np.int64)))
+            kinds.append((np.full(len(lead), LEAD), key[lead], sig[lead], n[lead]))
+            out = [np.concatenate(x) for x in zip(*kinds, strict=True)]
+            if len(out[0]):
+                yield cm.record_batch(names, out, types)
+            carried = [x[min(int(lo[-1]), len(rows) - 1) :] for x in cols]
 
     return run
 
 
-_CHAIN = "a long, b long, key long, n long"
+_KINDS = "kind int, a long, b long, n long"
+
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP, dtype=np.uint8)
-    bits[(s & np.uint64(BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+
+def similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    if pct * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= pct * (len(x) + len(y) - both)
 
 
 def tile_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
@@ -152,7 +187,8 @@ def tile_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
     find, union = cm.union_find(len(sets))
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    maps = np.stack([bitmap(sets[i]) for i in order]) if order else np.zeros((0, BITMAP // 64), np.uint64)
+    bits = max(BITMAP, 1 << int(4 * size.max(initial=1)).bit_length())
+    maps = np.stack([bitmap(sets[i], bits) for i in order]) if order else np.zeros((0, 1), np.uint64)
     out = []
     for at, i in enumerate(order):
         # Sizes within the ratio: a run just before this one in size order.
@@ -168,8 +204,7 @@ def tile_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
             j = order[lo + k]
             if find(i) == find(j):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= pct * (len(sets[i]) + len(sets[j]) - both):
+            if similar(sets[i], sets[j], pct):
                 union(i, j)
                 out.append((i, j))
     return out
@@ -198,13 +233,40 @@ def _tiles(n: int, pct: int):
     return run
 
 
+def _stars(n: int, pct: int):
+    """Links of each star's centre, which comes first, with the documents paired with it."""
+
+    def run(batches):
+        star, centre, centre_id = None, None, None
+        for batch in batches:
+            out = []
+            for b, r, s in _sets([batch], n):
+                now, is_centre = b["star"][r].as_py(), b["centre"][r].as_py()
+                if is_centre:
+                    star, centre, centre_id = now, s, b["doc_id"][r].as_py()
+                elif now == star and similar(s, centre, pct):
+                    out.append((centre_id, b["doc_id"][r].as_py()))
+            if out:
+                yield cm.record_batch(["a", "b"], list(zip(*out, strict=True)), [pa.int64(), pa.int64()])
+
+    return run
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, heads: DataFrame, n: int, pct: int) -> DataFrame:
+    """Links among the pairs of set names; a text travels once for each star that it belongs to."""
+    ends = pairs.select(F.col("a").alias("star"), F.col("b").alias("sig"), F.lit(False).alias("centre")).unionByName(pairs.select(F.col("a").alias("star"), F.col("a").alias("sig"), F.lit(True).alias("centre")).distinct())
+    stars = ends.join(heads, "sig").groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("star", "centre")).alias("stars"))
+    rows = docs.join(stars, "doc_id").select("doc_id", "text", F.explode("stars").alias("s")).select("s.star", "s.centre", "doc_id", "text")
+    return rows.repartition("star").sortWithinPartitions("star", F.col("centre").desc()).mapInArrow(_stars(n, pct), "a long, b long")
+
+
 def _meet(docs: DataFrame, places: DataFrame, n: int, pct: int) -> DataFrame:
     """places: (doc_id, tile); the documents of a tile are compared in one task."""
     rows = places.join(docs, "doc_id").select("tile", "doc_id", "text")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, pct), "a long, b long")
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE, salt_at: int = SALT_AT) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE, salt_at: int = SALT_AT, near: int = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are 100 * intersection >= pct * union."""
     docs = cm.with_columns(docs, doc_id="long", text="string")
     scan = cm.materialise(docs.mapInArrow(_profile(n), "doc_id long, sig long, n long, slice int, counts binary"))
@@ -213,12 +275,23 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE,
     heads = cm.materialise(meta.filter("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("head"), F.min("n").alias("n")).filter("head is not null"))
 
     posts = docs.mapInArrow(_postings(n, pct, hist, salt_at), "key long, salt int, n int, sig long")
-    first = cm.materialise(posts.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sig").mapInArrow(_chain(pct, 1), _CHAIN))
-    leads = first.filter("key is not null").select("key", F.lit(-1).alias("salt"), "n", F.col("a").alias("sig"))
-    second = leads.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(_chain(pct, 2), _CHAIN)
-    chains = first.filter("key is null").unionByName(second.filter("key is null")).select("a", "b").distinct()
-    blocks = cm.components(chains)
+    first = cm.materialise(posts.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sig").mapInArrow(_neighbours(pct, 1, near), _KINDS))
+    pairs = cm.materialise(first.filter(F.col("kind") == PAIR).select("a", "b").distinct())
+    links = cm.materialise(_verify(docs, pairs, heads, n, pct))
+    leads = first.filter(F.col("kind") == LEAD).select(F.col("a").alias("key"), F.lit(-1).alias("salt"), "n", F.col("b").alias("sig"))
+    second = leads.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(_neighbours(pct, 2, near), _KINDS)
+    chains = cm.materialise(first.unionByName(second).filter(F.col("kind") == CHAIN).select("a", "b").distinct())
+    if chains.limit(1).count():
+        links = cm.materialise(links.unionByName(_crowded(docs, heads, chains, n, pct, tile)))
+
+    labels = cm.components(links)
+    named_sets = cm.materialise(heads.join(labels, heads["head"] == labels.node, "left").select("sig", F.coalesce("label", "head").alias("component")))
+    return meta.join(named_sets, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
 
+def _crowded(docs: DataFrame, heads: DataFrame, chains: DataFrame, n: int, pct: int, tile: int) -> DataFrame:
+    """Links inside the blocks that crowded grams chain together."""
+    blocks = cm.components(chains)
     members = heads.join(blocks, heads.sig == blocks.node).select(F.col("head").alias("doc_id"), "n", F.col("label").alias("block"))
     members = cm.materialise(members.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(math.log(100 / pct))).cast("long")))
     load = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_GRAMS))
@@ -241,10 +314,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE,
     if large.limit(1).count():
         links = _remaining_tile_pairs(docs, large, links, n, pct, named)
 
-    labels = cm.components(links)
-    named_sets = cm.materialise(heads.join(labels, heads["head"] == labels.node, "left").select("sig", F.coalesce("label", "head").alias("component")))
-    out = meta.join(named_sets, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out
+    return links
 
 
 def _remaining_tile_pairs(docs: DataFrame, large: DataFrame, links: DataFrame, n: int, pct: int, named) -> DataFrame:
@@ -263,5 +333,18 @@ def _remaining_tile_pairs(docs: DataFrame, large: DataFrame, links: DataFrame, n
     return cm.materialise(links.unionByName(_meet(docs, places, n, pct)))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, that of its smallest doc_id; rows without doc_id all stay."""
+    groups = cm.materialise(ngram_jaccard(docs, **options))
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
+    rest = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    # Rows that share a doc_id are one document: all but one go, and only they are looked at for it.
+    if again.limit(1).count():
+        twice = docs["doc_id"] == again["again"]
+        rest = rest.join(again, twice, "left_anti").unionByName(rest.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return rest
+
+
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard(cm.read_table(spark, sf_dir, "documents"), n=4, pct=85)
