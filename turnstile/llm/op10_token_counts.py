@@ -88,7 +88,7 @@ class CountTree:
             if place >= start + self.chars[i] and self.chars[i + 1]:
                 start += self.chars[i]
                 i += 1
-        block = i - self.leaves
+        block = min(i - self.leaves, len(self.blocks) - 1)
         lengths = self.blocks[block][0]
         for k, n in enumerate(lengths):
             if place < start + n:
@@ -102,13 +102,8 @@ class CountTree:
         deleted = min(max(deleted, 0), len(self.text) - place)
         old_end, shift = place + deleted, len(inserted) - deleted
         new = self.text[:place] + inserted + self.text[old_end:]
-        # The first pre-token that ends within sight of the edit.
-        block, k, start = self._find(max(place - LOOKAHEAD, 0))
-        if place - LOOKAHEAD > 0 and k == 0 and block:
-            pass
-        elif k:
-            k -= 1
-            start -= self.blocks[block][0][k]
+        # The first pre-token that ends within sight of the edit, or one before it.
+        block, k, start = self._find(max(place - LOOKAHEAD - 1, 0))
         # Walk the old boundaries and the new ones until they meet behind the edit.
         old_block, old_k, old = block, k, start
         lengths, tokens, at = [], [], start

@@ -54,7 +54,7 @@ def _repeat_words(words: Column) -> Column:
         gaps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    count = bind(bind_array(order, with_order), covered)
+    count = bind(bind(order, with_order), covered)
     return F.when(n < 4, F.lit(0)).otherwise(count).cast("long")
 
 
@@ -63,18 +63,22 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-bind_array = bind
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts that rules are made of; one pass over the text, no shuffle.
 
-
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum and the counts that rules are made of; one pass over the text, no shuffle."""
-    docs = cm.with_columns(docs, doc_id="long", text="string", lang="string").select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
+    carry: the input's own columns come along, as the struct column row.
+    """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    own = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t)
+    docs = docs.select(own("doc_id", "long").alias("doc_id"), F.coalesce(own("lang", "string"), F.lit("")).alias("stratum"), F.coalesce(own("text", "string"), F.lit("")).alias("text"), *row)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
     size = lambda c: F.size(c).cast("long")
+    rows = ["row"] if carry else []
     counts = docs.select(
         "doc_id",
         "stratum",
+        *rows,
         F.length(F.translate(text, _SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
@@ -82,7 +86,7 @@ def measures(docs: DataFrame) -> DataFrame:
         bind(lines, lambda x: F.struct(size(x).alias("n"), (size(x) - size(F.array_distinct(x))).alias("dup"))).alias("l"),
         bind(_words(text), lambda w: F.struct(size(w).alias("n"), _repeat_words(w).alias("rep"))).alias("w"),
     )
-    return counts.select("doc_id", "stratum", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.rep").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_capitals", "n_shouts")
+    return counts.select("doc_id", "stratum", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.rep").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_capitals", "n_shouts", *rows)
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -139,6 +143,43 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(counted, cm.materialise(cutoffs(counted, labels)))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, as they came."""
+    counted = cm.materialise(measures(docs, carry=True))
+    return judge(counted, cm.materialise(cutoffs(counted, labels))).filter("kept").select("row.*")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(cm.read_table(spark, sf_dir, "documents"), cm.read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """The same in DuckDB, windows by unnesting and the binomial tail by log-gamma."""
+    share = RISK / len(RULES)
+    rules = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, CAST(floor(({e}) / 10) AS BIGINT) AS step FROM c" for r, e in RULES.items())
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id),
+c AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+  length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals, length(t) - length(replace(t, '!', '')) AS n_shouts
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+r AS ({rules}),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT r.* FROM r JOIN c USING (doc_id) JOIN good USING (doc_id) WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
+grid AS (SELECT stratum, rule, g * 10 AS cutoff, count(*) AS n, count(*) FILTER (WHERE step >= g) AS k FROM held, range(1, 100) AS x(g) GROUP BY ALL),
+s AS (SELECT count(DISTINCT stratum) AS strata FROM held),
+tail AS (SELECT stratum, rule, cutoff, any_value(strata) AS strata, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))) AS p
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM grid WHERE k < n * {share}) , s GROUP BY stratum, rule, cutoff),
+ok AS (SELECT g.stratum, g.rule, g.cutoff, coalesce(p <= {DELTA} / (strata * {len(RULES)}), false) AS ok FROM grid g LEFT JOIN tail USING (stratum, rule, cutoff)),
+bad AS (SELECT stratum, rule, coalesce(max(cutoff) FILTER (WHERE NOT ok), -1) AS failed FROM ok GROUP BY ALL),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM ok JOIN bad USING (stratum, rule) WHERE ok AND cutoff > failed GROUP BY ALL),
+over AS (SELECT DISTINCT r.doc_id FROM r JOIN cut USING (stratum, rule) WHERE step >= cutoff / 10),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND over.doc_id IS NULL AS kept
+FROM f LEFT JOIN over ON over.doc_id = f.doc_id"""

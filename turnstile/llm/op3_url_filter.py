@@ -24,7 +24,15 @@ from turnstile.llm import common as cm
 #: verdict, host/path: a host with its subdomains, and the beginning of a path.
 HOST_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Expressions over host/path that block, with the literals any match holds as whole tokens.
-PATTERN_RULES = ((r"(^|\.)(?:[a-z0-9]+-)*spam-[^/]*/", ("spam",)), (r"(^|\.)cheap-[^/]*/", ("cheap",)), (r"(^|[.-])casino[.-][^/]*/", ("casino",)), (r"(^|[.-])pills[.-][^/]*/", ("pills",)), (r"^[^/]*/(?:[^/]*/)*wp-login\.php$", ("wp", "login", "php")))
+PATTERN_RULES = (
+    (r"(^|[.-])spam-[^/]*/", ("spam",)),
+    (r"(^|\.)cheap-pills\.[^/]*/", ("cheap", "pills")),
+    (r"(^|[.-])casino[.-][^/]*/", ("casino",)),
+    (r"(^|[.-])bets\.[^/]*/", ("bets",)),
+    (r"(^|\.)adult-[^/]*/", ("adult",)),
+    (r"(^|\.)ads-track\.[^/]*/", ("ads", "track")),
+    (r"^[^/]*/(?:[^/]*/)*wp-login\.php$", ("wp", "login", "php")),
+)
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 _A_TO_Z = {c: c + 32 for c in range(65, 91)}

@@ -297,18 +297,18 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
 
 
 def per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """(removed_doc, gone): the removed line numbers of each document that has any."""
-    return removed.groupBy(F.col("doc_id").alias("removed_doc")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    """(__removed_doc, __gone): the removed line numbers of each document that has any."""
+    return removed.groupBy(F.col("doc_id").alias("__removed_doc")).agg(F.array_sort(F.collect_set("line")).alias("__gone"))
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the repeated lines; documents left without words are dropped; n_chars, if any, is counted anew."""
     gone = cm.materialise(per_document(docs, repeated_lines(docs, **options)))
-    joined = docs.join(gone, docs["doc_id"] == gone["removed_doc"], "left")
-    kept = F.concat_ws("\n", F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("gone", i)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    columns = [F.col("new_text").alias(c) if c == "text" else F.length("new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("new_text", text).filter(F.col("gone").isNull() | (F.translate(F.col("new_text"), " \t\n\x0b\f\r", "") != "")).select(*columns)
+    joined = docs.join(gone, docs["doc_id"] == gone["__removed_doc"], "left")
+    kept = F.concat_ws("\n", F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__gone", i)))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    columns = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.withColumn("__text", text).filter(F.col("__gone").isNull() | (F.translate(F.col("__text"), " \t\n\x0b\f\r", "") != "")).select(*columns)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -316,5 +316,5 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     gone = cm.materialise(per_document(docs, repeated_lines(docs)))
     n_lines = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).cast("long")
     counted = docs.select("doc_id", n_lines.alias("n_lines"))
-    out = counted.join(gone, counted.doc_id == gone.removed_doc, "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
+    out = counted.join(gone, counted.doc_id == gone["__removed_doc"], "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"))

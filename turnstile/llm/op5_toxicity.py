@@ -134,10 +134,10 @@ def _scores(batch: pa.RecordBatch, weights: np.ndarray, keep: np.ndarray, bias:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """docs with a score column; the input's own columns stay as they are."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, out: str = "score") -> DataFrame:
+    """docs with a score column named out; the input's own columns stay as they are."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     dense, bias = model
     used = np.flatnonzero(dense)
     values = dense[used]
@@ -147,9 +147,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
         weights[used] = values
         keep = weights != 0
         for batch in batches:
-            yield batch.append_column("score", pa.array(_scores(batch, weights, keep, bias), pa.float64()))
+            yield batch.append_column(out, pa.array(_scores(batch, weights, keep, bias), pa.float64()))
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

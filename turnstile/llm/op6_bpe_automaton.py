@@ -19,6 +19,7 @@ rows each give a row.  Strings of the special tokens are those tokens, as in the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -55,6 +56,7 @@ class TokenAutomaton:
         self.never = never
         for rank, (u, v) in enumerate(merges):
             self._add_gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        self.length = [len(self._chars(t)) for t in self.labels]
         self.arcs: dict[int, bool] = {}
         self.trie: dict = {}
         for t, i in vocab.items():
@@ -106,12 +108,13 @@ class TokenAutomaton:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """word: printable characters of a pre-split piece, without its word end."""
-        symbols = [*word[:-1], word[-1] + "</w>"]
+        symbols = list(word)
+        symbols[-1] += "</w>"
         n = len(symbols)
         last: list[int] = [-1] * (n + 1)  # the token that ends at each place on the way there
-        trie, arc = self.trie, self.arc
+        trie, arcs = self.trie, self.arcs
         for i in range(n):
-            state = last[i]
+            state = last[i] << 20
             if i and state < 0:
                 continue
             node = trie
@@ -120,15 +123,26 @@ class TokenAutomaton:
                 if node is None:
                     break
                 t = node.get(None)
-                if t is not None and last[j + 1] < 0 and (i == 0 or arc(state, t)):
+                if t is not None and last[j + 1] < 0:
+                    if i:
+                        open_arc = arcs.get(state | t)
+                        if not (self.arc(last[i], t) if open_arc is None else open_arc):
+                            continue
                     last[j + 1] = t
         out, at = [], n
         while at > 0:
-            out.append(last[at])
-            at -= len(self._chars(self.labels[last[at]]))
+            t = last[at]
+            out.append(t)
+            at -= self.length[t]
         return tuple(out[::-1])
 
 
+@functools.cache
+def codec_of(path: str) -> WordBpe:
+    """One codec a worker process."""
+    return WordBpe(path)
+
+
 class WordBpe:
     """Encoder and decoder of a vocabulary file with word ends."""
 
@@ -186,7 +200,7 @@ def _with_codec(docs: DataFrame, path: str, schema: str, make, types) -> DataFra
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        codec = WordBpe(path)
+        codec = codec_of(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

@@ -4,11 +4,12 @@ A document's set holds the 64-bit hashes of its distinct word n-grams.  Equal se
 copies cost a row each and no comparison.  Candidates come from the prefix principle: two sets at Jaccard >= t share
 one of their n - ceil(t n) + 1 rarest grams, rarity being read from a fixed-size histogram (any one global order is
 exact; common passages sort last, so they pull nobody together).  Under each gram, sets stand by size; each is paired
-with up to NEAR neighbours in the size band before it, and each pair is verified once.  Where a gram's band holds
-more, its sets are chained into blocks instead of paired: a block's documents meet in tiles of bounded size, keyed by
-size band, where bitmaps bound each overlap from above before sorted arrays are intersected.  Blocks beyond one tile
-first meet tile by tile with a pivot tile; tile pairs already joined into one component are then skipped, all others
-compared.  So no link is lost, and no group's pairs are written out.
+with the sets of the size band before it, at most NEAR of them, and a pair stays if the two bitmaps allow the overlap
+it needs.  Where a gram's band holds more, all its sets are tied to one of them instead.  What is tied or paired forms
+blocks.  A block's documents meet in tiles of bounded size, keyed by size band, where bitmaps bound each overlap from
+above before sorted arrays are intersected.  Blocks beyond one tile first meet tile by tile with a pivot tile; tile
+pairs already joined into one component are then skipped, all others compared.  So no link is lost, and a group's
+pairs are not written out.
 
 Defined results: null or empty text, or text without words: an empty set, linked with nothing, component its own
 doc_id.  Fewer than n words: the whole sequence is the one gram.  Rows that share a doc_id count as one document;
@@ -30,9 +31,9 @@ from turnstile.llm import textvec as tv
 #: Documents in a tile, and grams in all its sets (8 bytes each); its bitmaps take about one byte a gram.
 TILE = 1024
 TILE_GRAMS = 4_000_000
-#: Bits of the smallest bitmap; larger sets get 4 bits a gram and more.
+#: Bits of the smallest bitmap; larger sets get 2 bits a gram and more, 4 in tiles.
 BITMAP = 512
-#: Neighbours that a set is paired with under one gram; beyond them the gram's sets go to tiles.
+#: Neighbours that a set is paired with under one gram; beyond them the gram's sets are tied.
 NEAR = 48
 #: Postings of one gram that a single sort key takes before it is salted.
 SALT_AT = 200_000
@@ -59,22 +60,28 @@ def _signature(s: np.ndarray) -> int:
     return (x or 1) - (1 << 64) if x >= 1 << 63 else (x or 1)
 
 
+_PROFILE = "doc_id long, sig long, n long, bits binary, slice int, counts binary"
+
+
 def _profile(n: int):
+    names = [c.split()[0] for c in _PROFILE.split(", ")]
+
     def run(batches):
         counts = np.zeros(1 << cm.HIST_BITS, dtype=np.int64)
         for batch in batches:
-            sizes, sigs, heap = [], [], []
+            sizes, sigs, heap, maps = [], [], [], []
             for _, _, s in _sets([batch], n):
                 sizes.append(len(s))
                 sigs.append(_signature(s))
                 heap.append(s)
+                maps.append(bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None)
             if heap:
                 counts += np.bincount(cm.bucket(np.concatenate(heap)), minlength=len(counts))
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "sig", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         slices, blobs = cm.hist_rows(counts)
         rows = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "sig", "n", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -113,13 +120,13 @@ def _band(n: np.ndarray, pct: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / pct)).astype(np.int64)
 
 
-PAIR, CHAIN, LEAD = 0, 1, 2
+PAIR, TIE, LEAD = 0, 1, 2
 
 
 def _neighbours(pct: int, slack: int, near: int):
-    """Rows sorted by gram (and salt) and size: pairs of close neighbours, chains through crowded bands, band leads.
+    """Rows sorted by gram (and salt) and size: pairs of close neighbours, ties through crowded bands, band leads.
 
-    A salted gram's sets are always chained, and one of each band leads on to where the salts meet.
+    A salted gram's sets are always tied, and one of each band leads on to where the salts meet.
     """
     names, types = ["kind", "a", "b", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -138,23 +145,25 @@ def _neighbours(pct: int, slack: int, near: int):
             group = np.cumsum(new) - 1
             span = int(n.max()) + 1
             lo = np.searchsorted(group * span + n, group * span - (-(pct**slack) * n // 100**slack))
-            # Pairs with the nearest rows before, within the size ratio.
-            first = np.maximum(lo, rows - near) if slack == 1 else rows
-            reach = rows - first
-            reach[:fresh] = 0
+            # Rows with more before them than that, and salted or second-round ones, are tied through their whole band.
+            crowded = (rows - lo > near) | (salt >= 0) | (slack > 1)
+            reach = np.where(crowded | (rows < fresh), 0, rows - lo)
             i = np.repeat(rows, reach)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(first, reach)
-            # Rows more crowded than that, and salted or second-round ones, are chained through their whole band.
-            crowded = (lo < first) | (salt >= 0) | (slack > 1)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(lo, reach)
             marks = np.zeros(len(rows) + 1, dtype=np.int64)
             np.add.at(marks, lo[crowded] + 1, 1)
             np.add.at(marks, rows[crowded] + 1, -1)
-            c = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+            tied = np.cumsum(marks)[:-1] > 0
+            # A run begins with the row before its first tied one; all of it is tied to its smallest name.
+            start = np.flatnonzero(~tied)
+            hub = np.repeat(np.minimum.reduceat(sig, start), np.diff(np.append(start, len(rows))))
+            alone = np.append(~tied[1:], True) & ~tied
+            c = np.flatnonzero(~alone)
             band = _band(n, pct)
             lead = np.flatnonzero((salt >= 0) & (new | np.append(True, band[1:] != band[:-1])) & (rows >= fresh))
             kinds = []
-            for kind, x, y in ((PAIR, i, j), (CHAIN, c, c - 1)):
-                ends = np.stack([np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])], 1)
+            for kind, x, y in ((PAIR, sig[i], sig[j]), (TIE, sig[c], hub[c])):
+                ends = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
                 ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
                 kinds.append((np.full(len(ends), kind), ends[:, 0], ends[:, 1], np.zeros(len(ends), np.int64)))
             kinds.append((np.full(len(lead), LEAD), key[lead], sig[lead], n[lead]))
@@ -169,6 +178,10 @@ def _neighbours(pct: int, slack: int, near: int):
 _KINDS = "kind int, a long, b long, n long"
 
 
+def bitmap_bits(n: int) -> int:
+    return max(BITMAP, 1 << int(2 * n).bit_length())
+
+
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -187,7 +200,7 @@ def tile_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
     find, union = cm.union_find(len(sets))
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    bits = max(BITMAP, 1 << int(4 * size.max(initial=1)).bit_length())
+    bits = bitmap_bits(2 * int(size.max(initial=1)))
     maps = np.stack([bitmap(sets[i], bits) for i in order]) if order else np.zeros((0, 1), np.uint64)
     out = []
     for at, i in enumerate(order):
@@ -233,65 +246,66 @@ def _tiles(n: int, pct: int):
     return run
 
 
-def _stars(n: int, pct: int):
-    """Links of each star's centre, which comes first, with the documents paired with it."""
+def _folded(bits: bytes, to: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(-1, to // 64), axis=0)
+
+
+def _possible(pct: int):
+    """Pairs whose bitmaps allow the overlap: a bit that only one has is a gram that only it has."""
 
     def run(batches):
-        star, centre, centre_id = None, None, None
         for batch in batches:
-            out = []
-            for b, r, s in _sets([batch], n):
-                now, is_centre = b["star"][r].as_py(), b["centre"][r].as_py()
-                if is_centre:
-                    star, centre, centre_id = now, s, b["doc_id"][r].as_py()
-                elif now == star and similar(s, centre, pct):
-                    out.append((centre_id, b["doc_id"][r].as_py()))
-            if out:
-                yield cm.record_batch(["a", "b"], list(zip(*out, strict=True)), [pa.int64(), pa.int64()])
+            keep = []
+            for k, (x, y, n, m) in enumerate(zip(batch["x"], batch["y"], batch["n"].to_pylist(), batch["m"].to_pylist(), strict=True)):
+                x, y = x.as_py(), y.as_py()
+                to = 8 * min(len(x), len(y))
+                p, q = _folded(x, to), _folded(y, to)
+                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+                if 100 * most >= pct * (n + m - most):
+                    keep.append(k)
+            if keep:
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
 
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, heads: DataFrame, n: int, pct: int) -> DataFrame:
-    """Links among the pairs of set names; a text travels once for each star that it belongs to."""
-    ends = pairs.select(F.col("a").alias("star"), F.col("b").alias("sig"), F.lit(False).alias("centre")).unionByName(pairs.select(F.col("a").alias("star"), F.col("a").alias("sig"), F.lit(True).alias("centre")).distinct())
-    stars = ends.join(heads, "sig").groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("star", "centre")).alias("stars"))
-    rows = docs.join(stars, "doc_id").select("doc_id", "text", F.explode("stars").alias("s")).select("s.star", "s.centre", "doc_id", "text")
-    return rows.repartition("star").sortWithinPartitions("star", F.col("centre").desc()).mapInArrow(_stars(n, pct), "a long, b long")
+def _bounded(pairs: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
+    one = heads.select(F.col("sig").alias("a"), F.col("bits").alias("x"), "n")
+    two = heads.select(F.col("sig").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_possible(pct), "a long, b long")
 
 
 def _meet(docs: DataFrame, places: DataFrame, n: int, pct: int) -> DataFrame:
     """places: (doc_id, tile); the documents of a tile are compared in one task."""
-    rows = places.join(docs, "doc_id").select("tile", "doc_id", "text")
+    # Texts are dealt by doc_id whatever the number of places, so the plan is the same at every size.
+    rows = docs.hint("merge").join(places.hint("merge"), "doc_id").select("tile", "doc_id", "text")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, pct), "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE, salt_at: int = SALT_AT, near: int = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are 100 * intersection >= pct * union."""
     docs = cm.with_columns(docs, doc_id="long", text="string")
-    scan = cm.materialise(docs.mapInArrow(_profile(n), "doc_id long, sig long, n long, slice int, counts binary"))
+    scan = cm.materialise(docs.mapInArrow(_profile(n), _PROFILE))
     hist = cm.merge_hist(scan.filter("slice is not null").select("slice", "counts"))
-    meta = scan.filter("slice is null").select("doc_id", "sig", "n")
-    heads = cm.materialise(meta.filter("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("head"), F.min("n").alias("n")).filter("head is not null"))
+    meta = scan.filter("slice is null").select("doc_id", "sig", "n", "bits")
+    heads = cm.materialise(meta.filter("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("head"), F.min("n").alias("n"), F.any_value("bits").alias("bits")).filter("head is not null"))
 
     posts = docs.mapInArrow(_postings(n, pct, hist, salt_at), "key long, salt int, n int, sig long")
     first = cm.materialise(posts.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sig").mapInArrow(_neighbours(pct, 1, near), _KINDS))
-    pairs = cm.materialise(first.filter(F.col("kind") == PAIR).select("a", "b").distinct())
-    links = cm.materialise(_verify(docs, pairs, heads, n, pct))
+    pairs = cm.materialise(_bounded(first.filter(F.col("kind") == PAIR).select("a", "b").distinct(), heads, pct))
     leads = first.filter(F.col("kind") == LEAD).select(F.col("a").alias("key"), F.lit(-1).alias("salt"), "n", F.col("b").alias("sig"))
     second = leads.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(_neighbours(pct, 2, near), _KINDS)
-    chains = cm.materialise(first.unionByName(second).filter(F.col("kind") == CHAIN).select("a", "b").distinct())
-    if chains.limit(1).count():
-        links = cm.materialise(links.unionByName(_crowded(docs, heads, chains, n, pct, tile)))
-
+    ties = first.unionByName(second).filter(F.col("kind") == TIE).select("a", "b").distinct()
+    links = _inside_blocks(docs, heads, cm.materialise(pairs.unionByName(ties)), n, pct, tile)
     labels = cm.components(links)
     named_sets = cm.materialise(heads.join(labels, heads["head"] == labels.node, "left").select("sig", F.coalesce("label", "head").alias("component")))
     return meta.join(named_sets, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _crowded(docs: DataFrame, heads: DataFrame, chains: DataFrame, n: int, pct: int, tile: int) -> DataFrame:
-    """Links inside the blocks that crowded grams chain together."""
-    blocks = cm.components(chains)
+def _inside_blocks(docs: DataFrame, heads: DataFrame, edges: DataFrame, n: int, pct: int, tile: int) -> DataFrame:
+    """Links inside the blocks that pairs and ties of set names make."""
+    blocks = cm.components(edges)
     members = heads.join(blocks, heads.sig == blocks.node).select(F.col("head").alias("doc_id"), "n", F.col("label").alias("block"))
     members = cm.materialise(members.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(math.log(100 / pct))).cast("long")))
     load = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_GRAMS))
