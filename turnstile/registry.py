@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from turnstile.plans import dashboard, domain
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**dashboard.QUERIES, **domain.QUERIES}
+ORACLES: dict[str, str] = {**dashboard.ORACLES, **domain.ORACLES}
