@@ -5,4 +5,4 @@ import pytest
 def spark():
     from turnstile.session import local_session
 
-    return local_session()
+    return local_session(2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions.exprs import average_rank, clip
 
-AUC_WEIGHT, MARGIN_WEIGHT = 0.6, 0.4
+AUC_WEIGHT, MARGIN_WEIGHT = 0.5, 0.5
 SILHOUETTE_WEIGHT, STABILITY_WEIGHT = 0.6, 0.4
 
 

@@ -155,7 +155,7 @@ def _ranks(x: str) -> str:
 
 
 @query(
-    f"""SELECT round(auc, 6) AS auc, round(margin, 6) AS margin, round(least(greatest((margin + 1) / 2, 0), 1), 6) AS margin_norm, round(0.6 * auc + 0.4 * least(greatest((margin + 1) / 2, 0), 1), 6) AS composite FROM (
+    f"""SELECT round(auc, 6) AS auc, round(margin, 6) AS margin, round(least(greatest((margin + 1) / 2, 0), 1), 6) AS margin_norm, round(0.5 * auc + 0.5 * least(greatest((margin + 1) / 2, 0), 1), 6) AS composite FROM (
 SELECT coalesce((sum(r) FILTER (WHERE y) - p * (p + 1) / 2.0::DOUBLE) / nullif(p * n, 0), 0.5)::DOUBLE AS auc, coalesce(avg(s) FILTER (WHERE y) - avg(s) FILTER (WHERE NOT y), 0)::DOUBLE AS margin
 FROM (SELECT s, y, {_ranks('s')} AS r, count(*) FILTER (WHERE y) OVER () AS p, count(*) FILTER (WHERE NOT y) OVER () AS n FROM (SELECT round(engagement_score_combined, 9) AS s, is_rivalry AS y FROM ranking)) GROUP BY p, n)""",
     "ranking",
