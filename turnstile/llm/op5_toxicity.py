@@ -2,9 +2,9 @@
 
 Confirmed toxic examples are the positives; all else is unlabelled text, whose own labels are never read.  With class
 prior p (the confirmed share among labelled training rows) the risk is
-p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P[l(-f)]): the bracket estimates the risk on negatives and is held at zero or
-above; where it would fall below, its gradient is reversed, as Kiryo et al. (2017) do.  The loss is logistic, so that
-sigmoid(f) estimates the probability; an L1 proximal step leaves few words with a weight.
+p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P[l(-f)]) (Kiryo et al., 2017): the bracket estimates the risk on negatives
+and is held at zero or above, so where it falls below it adds no gradient.  The loss is logistic, so that sigmoid(f)
+estimates the probability; an L1 proximal step leaves few words with a weight.
 
 A text's features are its distinct words and their first PREFIXES bytes, A-Z lowered, hashed to 2**FEATURE_BITS.  Training
 reads a bounded sample, MAX_POSITIVE and MAX_UNLABELLED documents by smallest hash of doc_id; scoring reads every text.
@@ -89,7 +89,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: np
         as_negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
         negative = push(sides[1], s_u / len(s_u)) - prior * push(sides[0], s_p / len(s_p))
         positive_side = prior * push(sides[0], (s_p - 1) / len(s_p))
-        g = positive_side + negative if as_negative >= 0 else -negative
+        g = positive_side + negative if as_negative >= 0 else positive_side
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         step = scale * m / (1 - 0.9**t)
