@@ -30,8 +30,12 @@ def polarity_label(score: Column, band: float = LABEL_BAND) -> Column:
 
 
 def mentions(text: Column, alias: str) -> Column:
-    """Whole-word, case-insensitive hit of a literal; letters, digits and _ of any script are word characters."""
-    return F.lower(text).rlike(word_pattern(alias))
+    """Whole-word, case-insensitive hit of a literal; letters, digits and _ of any script are word characters.
+
+    The substring test is cheap and rules out most texts before the expression runs.
+    """
+    low = F.lower(text)
+    return F.contains(low, F.lit(alias.lower())) & low.rlike(word_pattern(alias))
 
 
 def word_pattern(alias: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,4 +281,13 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.comments(spark, sf_dir).groupBy((F.floor(F.col("created_utc") / 3600) * 3600).alias("hour"), "subreddit").agg(F.count("*").alias("comments"))
 
 
+@query("SELECT CAST(id AS VARCHAR) AS id, author, body, created_utc, subreddit, score FROM comments WHERE length(body) >= 15", "comments")
+def ndjson_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments written as compressed NDJSON in the shared folder and ingested again."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='turnstile-')}/ndjson-{uuid.uuid4().hex}"
+    rel.comments(spark, sf_dir).select("id", "author", "body", "created_utc", "subreddit", "score").write.json(folder)
+    source = archive.ArchiveSource(folder, suffixes="{json,jsonl}")
+    return source.read(spark).select("id", "author", "body", "created_utc", "subreddit", "score")
+
+
 assert RATIO_BAND == 0.1  # the oracles spell it as scores of 55 and 45

@@ -54,11 +54,11 @@ def canonical(raw: DataFrame, source: str) -> DataFrame:
 class ArchiveSource:
     """Archives below a folder; read() and stream() give the same columns."""
 
-    def __init__(self, path: str, options: ArchiveOptions = ArchiveOptions()):
-        self.path, self.options = path, options
+    def __init__(self, path: str, options: ArchiveOptions = ArchiveOptions(), suffixes: str = "{zst,jsonl,ndjson}"):
+        self.path, self.options, self.suffixes = path, options, suffixes
 
     def _rows(self, reader) -> DataFrame:
-        reader = reader.schema(RAW).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{zst,jsonl,ndjson}")
+        reader = reader.schema(RAW).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{self.suffixes}")
         return canonical(accept(reader.json(self.path), self.options), self.options.source)
 
     def read(self, spark: SparkSession) -> DataFrame:
