@@ -163,6 +163,18 @@ def link(comments: DataFrame, fixtures: DataFrame, config: LinkingConfig, option
     return scored.filter(F.col("raw") >= options.min_confidence).withColumn("link_confidence", F.round("raw", 3)).drop("raw")
 
 
+# Shorthand words of seven teams.
+TEAM_SHORTHAND = {
+    "Barcelona": ["barca", "fcb"],
+    "Real Madrid": ["madrid", "rma"],
+    "Manchester United": ["united", "manu", "mufc"],
+    "Manchester City": ["city", "mcfc"],
+    "Liverpool": ["lfc"],
+    "Arsenal": ["arsenal", "afc"],
+    "Tottenham Hotspur": ["spurs", "thfc"],
+}
+
+
 def team_keywords(team: Column, shorthand: dict[str, list[str]]) -> Column:
     """ASCII words of the name longer than three letters, lower-cased, with the team's shorthand words."""
     words = F.transform(F.filter(F.regexp_extract_all(team, F.lit("[a-zA-Z]+"), 0), lambda w: F.length(w) > 3), F.lower)
@@ -175,9 +187,11 @@ def team_keywords(team: Column, shorthand: dict[str, list[str]]) -> Column:
 def first_match(items: DataFrame, fixtures: DataFrame, shorthand: dict[str, list[str]] | None = None) -> DataFrame:
     """items (external_id, comment) with the first fixture, by ordinal, both of whose sides occur as substrings.
 
+    shorthand adds words to a team's own; TEAM_SHORTHAND unless another table is given.
+
     Fixtures are gathered once into a sorted array (it must stay broadcast-sized, as it is sent to every task).
     """
-    sides = fixtures.select("ordinal", "match_id", *(team_keywords(F.col(c), shorthand or {}).alias(k) for c, k in (("home_team", "h"), ("away_team", "a"))))
+    sides = fixtures.select("ordinal", "match_id", *(team_keywords(F.col(c), TEAM_SHORTHAND if shorthand is None else shorthand).alias(k) for c, k in (("home_team", "h"), ("away_team", "a"))))
     listed = F.broadcast(sides.agg(F.array_sort(F.collect_list(F.struct("ordinal", "match_id", "h", "a"))).alias("__fixtures")))
     text = F.lower(F.coalesce("comment", F.lit("")))
     has = lambda words: F.exists(words, lambda w: F.contains(text, w))

@@ -9,8 +9,8 @@ COMPETITIONS = "competition_id INT, season_id INT, competition_name STRING, seas
 FIXTURES = "match_id BIGINT, home_team STRUCT<home_team_name STRING>, away_team STRUCT<away_team_name STRING>, match_date STRING, home_score INT, away_score INT"
 EVENTS = "minute INT, team STRUCT<name STRING>, player STRUCT<name STRING>, shot STRUCT<outcome STRUCT<name STRING>, statsbomb_xg DOUBLE>"
 
-#: Unordered pairs that are rivalries; compared as written.
-RIVALRIES = (("Barcelona", "Real Madrid"), ("Liverpool", "Manchester United"), ("Manchester City", "Manchester United"), ("Arsenal", "Tottenham Hotspur"), ("Bayern Munich", "Borussia Dortmund"), ("AC Milan", "Inter"), ("Atletico Madrid", "Real Madrid"))
+# Unordered pairs that are rivalries, compared as written.
+RIVALRIES = (("Barcelona", "Real Madrid"), ("Manchester United", "Liverpool"), ("Arsenal", "Tottenham Hotspur"), ("Inter", "AC Milan"), ("Boca Juniors", "River Plate"))
 
 
 def _read(spark: SparkSession, schema: str, path) -> DataFrame:
@@ -31,7 +31,7 @@ def fixtures(spark: SparkSession, path, competition: DataFrame | None = None, co
     """Flat fixtures; files lie in .../<competition_id>/<season_id>.json, by which the competition's names are joined."""
     raw = _read(spark, FIXTURES, path).withColumn("__path", F.col("_metadata.file_path"))
     ids = F.regexp_extract("__path", r"/(\d+)/(\d+)\.json$", 1), F.regexp_extract("__path", r"/(\d+)/(\d+)\.json$", 2)
-    raw = raw.withColumns({"__c": F.expr("try_cast('0' AS INT)"), "__cid": ids[0], "__sid": ids[1]}).drop("__c")
+    raw = raw.withColumns({"__cid": ids[0], "__sid": ids[1]})
     if competition_ids is not None:
         raw = raw.filter(F.col("__cid").isin(*map(str, competition_ids)))
     if competition is not None:
