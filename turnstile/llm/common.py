@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,100 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
 
 
+_made: dict[str, str] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor repeats no work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made[path] = path
+    out.turnstile_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialise() made and that nothing unwritten reads any more."""
+    for df in frames:
+        path = _made.pop(getattr(df, "turnstile_path", ""), None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all tables that materialise() made so far but one; for callers that have written their results."""
+    kept = getattr(keep, "turnstile_path", None)
+    for path in [p for p in _made if p != kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[path]
+
+
+#: Bits of a membership mask: 2 MB whatever the number of keys.
+MASK_BITS = 24
+
+
+def _mask_bits(columns: list[pa.Array]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        h = tv.mix(h ^ pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return (h >> np.uint64(64 - MASK_BITS)).astype(np.int64)
+
+
+def member_mask(keys: DataFrame) -> bytes:
+    """A mask that holds every row of keys (long or int columns), and now and then another key.
+
+    It only lets rows skip a shuffle; an exact join decides on those it lets through.  Each task sends its own bits;
+    they are united by slice, and the 2 MB result goes to the tasks.
+    """
+    names = keys.columns
+
+    def own(batches):
+        bits = np.zeros(1 << MASK_BITS, dtype=bool)
+        for b in batches:
+            bits[_mask_bits([b[n] for n in names])] = True
+        parts = np.split(np.packbits(bits), HIST_SLICES)
+        some = [k for k, x in enumerate(parts) if x.any()]
+        yield record_batch(["slice", "bits"], [some, [zlib.compress(parts[k].tobytes(), 1) for k in some]], [pa.int32(), pa.binary()])
+
+    def unite(batches):
+        united: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b["slice"].to_pylist(), b["bits"], strict=True):
+                part = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint8)
+                united[k] = united[k] | part if k in united else part
+        yield record_batch(["slice", "bits"], [list(united), [zlib.compress(x.tobytes(), 1) for x in united.values()]], [pa.int32(), pa.binary()])
+
+    out = np.zeros((1 << MASK_BITS) // 8, dtype=np.uint8)
+    width = len(out) // HIST_SLICES
+    schema = "slice int, bits binary"
+    for k, blob in keys.mapInArrow(own, schema).repartition(HIST_SLICES, "slice").mapInArrow(unite, schema).collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint8)
+    return zlib.compress(out.tobytes(), 1)
+
+
+def open_mask(mask: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(mask), dtype=np.uint8)).view(bool)
+
+
+def in_mask(bits: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
+    return bits[_mask_bits(columns)]
+
+
+def masked(df: DataFrame, mask: bytes, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose long key the mask holds, or the others; rows without key count as others."""
+
+    def run(batches):
+        bits = open_mask(mask)
+        for b in batches:
+            ids = b[key].cast(pa.int64())
+            hit = in_mask(bits, [ids]) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit if inside else ~hit))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,14 +197,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
-        heard = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
+        heard = both.join(labels.select("node", "label"), both.a == F.col("node")).select(F.col("b").alias("node"), "label")
         new = materialise(labels.select("node", "label", F.col("label").alias("old")).unionByName(heard.withColumn("old", F.lit(None).cast("long"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
         up = new.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
         jumped = materialise(new.join(up, new.label == up.up, "left").select("node", F.coalesce(F.least("label", "up_label"), "label").alias("label"), "old"))
         changed = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
+        discard(new, labels)
+        labels = jumped
         if not changed:
-            return labels
+            discard(both)
+            return jumped.select("node", "label")
 
 
 def union_find(n: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]]:

@@ -278,8 +278,9 @@ def _bounded(pairs: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
 
 def _meet(docs: DataFrame, places: DataFrame, n: int, pct: int) -> DataFrame:
     """places: (doc_id, tile); the documents of a tile are compared in one task."""
-    # Texts are dealt by doc_id whatever the number of places, so the plan is the same at every size.
-    rows = docs.hint("merge").join(places.hint("merge"), "doc_id").select("tile", "doc_id", "text")
+    # Only texts that may have a place are dealt out.
+    some = cm.masked(docs, cm.member_mask(places.select("doc_id")), "doc_id")
+    rows = some.join(places, "doc_id").select("tile", "doc_id", "text")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, pct), "a long, b long")
 
 
@@ -350,14 +351,17 @@ def _remaining_tile_pairs(docs: DataFrame, large: DataFrame, links: DataFrame, n
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that of its smallest doc_id; rows without doc_id all stay."""
     groups = cm.materialise(ngram_jaccard(docs, **options))
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
-    rest = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    # Rows that share a doc_id are one document: all but one go, and only they are looked at for it.
-    if again.limit(1).count():
-        twice = docs["doc_id"] == again["again"]
-        rest = rest.join(again, twice, "left_anti").unionByName(rest.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
-    return rest
+    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__gone"))
+    gone = cm.materialise(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.lit(False).alias("__again")).distinct().unionByName(again.withColumn("__again", F.lit(True))))
+    mask = cm.member_mask(gone.select("__gone"))
+    looked_at = cm.masked(docs, mask, "doc_id")
+    flags = gone.groupBy("__gone").agg(F.max("__again").alias("__again"), F.min("__again").alias("__only_again"))
+    joined = looked_at.join(flags, looked_at["doc_id"] == flags["__gone"], "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = joined.filter("__gone is null").select(*columns)
+    # Rows that share a doc_id are one document: one of them stays, if their document does.
+    twice = joined.filter("__only_again").dropDuplicates(["doc_id"]).select(*columns)
+    return cm.masked(docs, mask, "doc_id", inside=False).unionByName(stay).unionByName(twice)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
