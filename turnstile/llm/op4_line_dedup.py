@@ -8,8 +8,9 @@ Lines are ordered by (doc_id, line number).  A line goes if an earlier line of t
 similar to it, whether or not that earlier line itself stays.
 
 Of a line's candidates under one token the WITNESSES nearest by bitmap are verified first.  One true match settles a
-line; lines that none settled and that had more candidates are compared again with all of them, so the number is no
-cap.  Tokens of very many lines are dealt out by pairs of salts.
+line; lines that none settled and that had more candidates are compared again with all of them under the tokens in
+question, so the number is no cap.  Tokens of very many lines are dealt out by pairs of salts.  The lines to verify are
+found again by a scan with a membership mask, so whole texts are never shuffled.
 
 Defined results: null text is empty; a line with fewer than min_tokens distinct words always stays; rows without
 doc_id are left alone and match nothing; rows that repeat a doc_id count as one document.  Extra columns pass through
@@ -107,11 +108,12 @@ _POST = [("key", pa.int64()), ("salt_a", pa.int32()), ("salt_b", pa.int32()), ("
 _POST_SQL = "key long, salt_a int, salt_b int, n int, at int, doc_id long, line int, m0 long, m1 long"
 
 
-def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int):
-    """Prefix tokens of each line whose set the task has not seen at an earlier place."""
+def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int, mask: bytes | None = None):
+    """Prefix tokens (those in the mask, if any) of each line whose set the task has not seen at an earlier place."""
 
     def run(batches):
         seen: dict[int, tuple[int, int]] = {}
+        bits = None if mask is None else cm.open_mask(mask)
         for batch in batches:
             ids = pc.fill_null(batch["doc_id"], 0).to_numpy(zero_copy_only=False)
             known = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
@@ -136,6 +138,9 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int):
                 owner = np.repeat(take, reach)
                 at = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(reach)[:-1]), reach)
                 token = x.tokens[x.first[owner] + at]
+                if bits is not None:
+                    asked = cm.in_mask(bits, [pa.array(token.view(np.int64))])
+                    owner, at, token = owner[asked], at[asked], token[asked]
                 salts = (hist[cm.bucket(token)].astype(np.int64) - 1) // salt_at + 1
                 own = (x.name[owner].view(np.uint64) % salts.astype(np.uint64)).astype(np.int64)
                 if (salts > 1).any():
@@ -152,7 +157,7 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int):
     return run
 
 
-_PAIRS = "doc_id long, line int, by_doc long, by_line int, more boolean"
+_PAIRS = "doc_id long, line int, by_doc long, by_line int, more_under long"
 
 
 #: Pairs whose filters are computed at a time.
@@ -173,15 +178,17 @@ def _pass_filters(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray, pct: int
     return np.where(i_later, i, j), np.where(i_later, j, i), differ
 
 
-def _candidates(pct: int, witnesses: int | None):
-    """For each line under a token, earlier lines that pass the filters: the nearest few, or all of them.
+def _candidates(pct: int, witnesses: int | None, mask: bytes | None = None):
+    """For each line under a token, earlier lines that pass the filters: the nearest few, or all of a masked line's.
+
+    more_under is the token if there were more than the few.
 
     Rows come sorted by token and size; only the window of sizes that the length filter allows is carried from one
     batch to the next.
     """
-    names, types = ["doc_id", "line", "by_doc", "by_line", "more"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+    names, types = ["doc_id", "line", "by_doc", "by_line", "more_under"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
 
-    def nearest(cols, later, earlier, differ):
+    def nearest(keys, cols, later, earlier, differ):
         """A batch's rows out; places of the line make its group, under each token apart."""
         order = np.lexsort((earlier, differ, later))
         later, earlier = later[order], earlier[order]
@@ -194,10 +201,11 @@ def _candidates(pct: int, witnesses: int | None):
             keep = rank < witnesses
             later, earlier, more = later[keep], earlier[keep], more[keep]
         doc, line = cols[3], cols[4]
-        return cm.record_batch(names, [doc[later], line[later], doc[earlier], line[earlier], more], types)
+        return cm.record_batch(names, [doc[later], line[later], doc[earlier], line[earlier], pa.array(keys[later], mask=~more)], types)
 
     def run(batches):
         carried = None
+        bits = None if mask is None else cm.open_mask(mask)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -220,30 +228,35 @@ def _candidates(pct: int, witnesses: int | None):
                 to = max(at + 1, int(np.searchsorted(done, done[at] + PAIR_BLOCK, side="right")) - 1)
                 i = np.repeat(np.arange(at, to), reach[at:to])
                 j = np.arange(len(i)) - np.repeat(done[at:to] - done[at], reach[at:to]) + np.repeat(lo[at:to], reach[at:to])
-                found.append(_pass_filters(cols, i, j, pct))
+                later, earlier, differ = _pass_filters(cols, i, j, pct)
+                if bits is not None:
+                    asked = cm.in_mask(bits, [pa.array(cols[3][later]), pa.array(cols[4][later])])
+                    later, earlier, differ = later[asked], earlier[asked], differ[asked]
+                found.append((later, earlier, differ))
                 at = to
             later, earlier, differ = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(later):
-                yield nearest(cols, later, earlier, differ)
+                yield nearest(raw[0], cols, later, earlier, differ)
             open_from = int(lo[-1])
             carried = [c[open_from:] for c in raw]
 
     return run
 
 
-def _line_sets(min_tokens: int):
-    """The token sets of the wanted lines of each document."""
+def _line_sets(min_tokens: int, mask: bytes):
+    """The token sets of the lines that the mask holds."""
 
     def run(batches):
+        bits = cm.open_mask(mask)
         for batch in batches:
-            ids, wanted = batch["doc_id"], batch["lines"]
+            ids = batch["doc_id"]
             for chunk in tv.chunks(batch["text"]):
                 x = _Lines(chunk, None, min_tokens)
-                want = [set(w) for w in wanted.slice(chunk.lo, chunk.rows).to_pylist()]
-                take = [i for i, (r, k) in enumerate(zip(x.row.tolist(), x.number.tolist(), strict=True)) if k in want[r]]
-                if take:
+                own = ids.take(pa.array(x.row + chunk.lo))
+                take = np.flatnonzero(cm.in_mask(bits, [own, pa.array(x.number)]) & own.is_valid().to_numpy(zero_copy_only=False))
+                if len(take):
                     sets = [np.sort(x.tokens_of(i)).tobytes() for i in take]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[take] + chunk.lo)), pa.array(x.number[take], pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "tokens"])
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(take)), pa.array(x.number[take], pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "tokens"])
 
     return run
 
@@ -266,12 +279,14 @@ def _similar(pct: int):
 
 def _verify(docs: DataFrame, pairs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
     """(doc_id, line) of the pairs' lines that are similar to the earlier line beside them."""
-    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line"))).distinct()
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    sets = cm.materialise(docs.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_line_sets(min_tokens), "doc_id long, line int, tokens binary"))
+    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line")))
+    sets = docs.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary")
+    sets = cm.materialise(sets)
     by = sets.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("tokens").alias("by_tokens"))
     both = pairs.join(sets, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "tokens", "by_tokens")
-    return both.mapInArrow(_similar(pct), "doc_id long, line int").distinct()
+    out = cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
+    cm.discard(sets)
+    return out
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS, witnesses: int = WITNESSES, salt_at: int = SALT_AT) -> DataFrame:
@@ -285,14 +300,21 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
 
     posts = docs.mapInArrow(_postings(hist, pct, min_tokens, salt_at), _POST_SQL)
     sorted_posts = posts.repartition("key", "salt_a", "salt_b").sortWithinPartitions("key", "salt_a", "salt_b", "n")
-    found = cm.materialise(sorted_posts.mapInArrow(_candidates(pct, witnesses), _PAIRS).groupBy("doc_id", "line", "by_doc", "by_line").agg(F.max("more").alias("more")))
-    similar = cm.materialise(_verify(docs, found.drop("more"), pct, min_tokens))
-    unsettled = cm.materialise(found.filter("more").select("doc_id", "line").distinct().join(similar, ["doc_id", "line"], "left_anti").join(copies, ["doc_id", "line"], "left_anti"))
+    more = F.collect_set("more_under").alias("more_under")
+    found = cm.materialise(sorted_posts.mapInArrow(_candidates(pct, witnesses), _PAIRS).groupBy("doc_id", "line", "by_doc", "by_line").agg(more))
+    similar = _verify(docs, found.drop("more_under"), pct, min_tokens)
+    open_lines = found.select("doc_id", "line", F.explode("more_under").alias("key")).distinct()
+    unsettled = cm.materialise(open_lines.join(similar, ["doc_id", "line"], "left_anti").join(copies, ["doc_id", "line"], "left_anti"))
     if unsettled.limit(1).count():
-        # The few lines whose nearest candidates all failed meet every candidate.
-        again = posts.repartition("key", "salt_a", "salt_b").sortWithinPartitions("key", "salt_a", "salt_b", "n").mapInArrow(_candidates(pct, None), _PAIRS)
-        rest = cm.materialise(again.join(unsettled, ["doc_id", "line"], "left_semi").select("doc_id", "line", "by_doc", "by_line").distinct())
+        # The few lines whose nearest candidates all failed meet every candidate, under the tokens that had more.
+        tokens, asked = cm.member_mask(unsettled.select("key")), cm.member_mask(unsettled.select("doc_id", "line"))
+        posts = docs.mapInArrow(_postings(hist, pct, min_tokens, salt_at, tokens), _POST_SQL)
+        again = posts.repartition("key", "salt_a", "salt_b").sortWithinPartitions("key", "salt_a", "salt_b", "n").mapInArrow(_candidates(pct, None, asked), _PAIRS)
+        lines_left = unsettled.select("doc_id", "line").distinct()
+        rest = cm.materialise(again.join(lines_left, ["doc_id", "line"], "left_semi").select("doc_id", "line", "by_doc", "by_line").distinct())
         similar = similar.unionByName(_verify(docs, rest, pct, min_tokens))
+        cm.discard(rest)
+    cm.discard(found, unsettled)
     return copies.unionByName(similar).distinct()
 
 
@@ -304,11 +326,14 @@ def per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the repeated lines; documents left without words are dropped; n_chars, if any, is counted anew."""
     gone = cm.materialise(per_document(docs, repeated_lines(docs, **options)))
-    joined = docs.join(gone, docs["doc_id"] == gone["__removed_doc"], "left")
+    mask = cm.member_mask(gone.select("__removed_doc"))
+    touched = cm.masked(docs, mask, "doc_id")
+    joined = touched.join(gone, touched["doc_id"] == gone["__removed_doc"], "left")
     kept = F.concat_ws("\n", F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__gone", i)))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     columns = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("__text", text).filter(F.col("__gone").isNull() | (F.translate(F.col("__text"), " \t\n\x0b\f\r", "") != "")).select(*columns)
+    changed = joined.withColumn("__text", text).filter(F.col("__gone").isNull() | (F.translate(F.col("__text"), " \t\n\x0b\f\r", "") != "")).select(*columns)
+    return cm.masked(docs, mask, "doc_id", inside=False).unionByName(changed)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
