@@ -3,6 +3,9 @@
 Each stage is one of turnstile.llm's operators, works on all rows that the stage before kept, and is written as Parquet
 and read again.  Rows keep the columns of documents until the last stage, which returns the bins: doc_ids with the
 first word and the number of words of each piece.
+
+A stage's result has to be written before the next stage is called: each one begins by deleting the tables that the one
+before made on its way.
 """
 
 from __future__ import annotations
@@ -15,27 +18,32 @@ from turnstile.llm import op1_quality_rules, op4_line_dedup, op5_toxicity, op8_p
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5."""
+    cm.sweep(spark, docs)
     model = op5_toxicity.train(docs, cm.read_table(spark, sf_dir, "labels"))
     return op5_toxicity.score(docs, model, "__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs."""
+    cm.sweep(spark, docs)
     return op1_quality_rules.keep_good(docs, cm.read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those that lose all their words go."""
+    cm.sweep(spark, docs)
     return op4_line_dedup.remove_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    cm.sweep(spark, docs)
     return op9_ngram_join.keep_first(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bins of best-fit packing."""
+    cm.sweep(spark, docs)
     return op8_packing.bins(op8_packing.pack(docs))
 
 
