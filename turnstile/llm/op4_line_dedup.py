@@ -303,8 +303,8 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
     more = F.collect_set("more_under").alias("more_under")
     found = cm.materialise(sorted_posts.mapInArrow(_candidates(pct, witnesses), _PAIRS).groupBy("doc_id", "line", "by_doc", "by_line").agg(more))
     similar = _verify(docs, found.drop("more_under"), pct, min_tokens)
-    open_lines = found.select("doc_id", "line", F.explode("more_under").alias("key")).distinct()
-    unsettled = cm.materialise(open_lines.join(similar, ["doc_id", "line"], "left_anti").join(copies, ["doc_id", "line"], "left_anti"))
+    open_lines = found.filter(F.size("more_under") > 0).join(similar, ["doc_id", "line"], "left_anti").join(copies, ["doc_id", "line"], "left_anti")
+    unsettled = cm.materialise(open_lines.select("doc_id", "line", F.explode("more_under").alias("key")).distinct())
     if unsettled.limit(1).count():
         # The few lines whose nearest candidates all failed meet every candidate, under the tokens that had more.
         tokens, asked = cm.member_mask(unsettled.select("key")), cm.member_mask(unsettled.select("doc_id", "line"))
