@@ -24,8 +24,8 @@ CONFIG = LinkingConfig(
     tuple(Rivalry((f"NATION_{i}", f"NATION_{j}"), (KEYWORD,)) for i in range(N_TEAMS) for j in range(i + 1, N_TEAMS) if (j - i) % 5 == 0),
     GENERIC,
 )
-#: One fixture in so many sees a four-hour band in the linking queries; the flagship curve uses the full one.
-LINK = LinkerOptions(before_hours=24, after_hours=24)
+#: The operator's own window, 48 hours to each side, in every query over links; the DuckDB band follows it.
+LINK = LinkerOptions()
 SEGMENTS = ((40, "Casual Fan"), (60, "Tactical Fan"), (80, "Highly Engaged Fan"))
 
 
