@@ -12,9 +12,13 @@ line; lines that none settled and that had more candidates are compared again wi
 question, so the number is no cap.  Tokens of very many lines are dealt out by pairs of salts.  The lines to verify are
 found again by a scan with a membership mask, so whole texts are never shuffled.
 
-Defined results: null text is empty; a line with fewer than min_tokens distinct words always stays; rows without
-doc_id are left alone and match nothing; rows that repeat a doc_id count as one document.  Extra columns pass through
-remove_lines().  A document that loses every line with words has no text left and is dropped there.
+Sets of very few words (n/(n+1) below the similarity: under four at 0.8) can be similar to equal sets only, which are
+found by name, so their prefixes stay out of the join.
+
+Defined results: null text is empty; a line with fewer than min_tokens distinct words always stays: in the query and in
+remove_lines() only one without words; rows without doc_id are left alone and match nothing; rows that repeat a doc_id
+count as one document.  Extra columns pass through remove_lines().  A document that loses every line with words has no
+text left and is dropped there.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from turnstile.llm import textvec as tv
 
 PCT = 80
 MIN_TOKENS = 5
+#: The query and remove_lines() take every line that has a word; repeated_lines() alone keeps its old floor by default.
+EVERY_LINE = 1
 WITNESSES = 4
 SALT_AT = 100_000
 
@@ -118,7 +124,8 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int, mask: b
             ids = pc.fill_null(batch["doc_id"], 0).to_numpy(zero_copy_only=False)
             known = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for chunk in tv.chunks(batch["text"]):
-                x = _Lines(chunk, hist, min_tokens)
+                # Only sets that a different one can be similar to: the nearest has one token more.
+                x = _Lines(chunk, hist, max(min_tokens, -(-pct // (100 - pct)) if pct < 100 else 1))
                 if not len(x.row):
                     continue
                 m0, m1 = _bitmaps(x)
@@ -325,7 +332,7 @@ def per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the repeated lines; documents left without words are dropped; n_chars, if any, is counted anew."""
-    gone = cm.materialise(per_document(docs, repeated_lines(docs, **options)))
+    gone = cm.materialise(per_document(docs, repeated_lines(docs, **{"min_tokens": EVERY_LINE, **options})))
     mask = cm.member_mask(gone.select("__removed_doc"))
     touched = cm.masked(docs, mask, "doc_id")
     joined = touched.join(gone, touched["doc_id"] == gone["__removed_doc"], "left")
@@ -338,7 +345,7 @@ def remove_lines(docs: DataFrame, **options) -> DataFrame:
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = cm.with_columns(cm.read_table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    gone = cm.materialise(per_document(docs, repeated_lines(docs)))
+    gone = cm.materialise(per_document(docs, repeated_lines(docs, min_tokens=EVERY_LINE)))
     n_lines = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).cast("long")
     counted = docs.select("doc_id", n_lines.alias("n_lines"))
     out = counted.join(gone, counted.doc_id == gone["__removed_doc"], "left")
