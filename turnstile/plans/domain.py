@@ -262,7 +262,7 @@ def segments_gen1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["comment_frequency", "sentiment_volatility", "engagement_activity"]
     scaled = segments.scale(_points(spark, sf_dir), cols)
-    return segments.cluster_stability(scaled, "author", [f"{c}_scaled" for c in cols], 4, runs=3)
+    return segments.cluster_stability(scaled, "author", [f"{c}_scaled" for c in cols], 4)
 
 
 @query("SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS sentiment_score, 'length' AS sentiment_model FROM documents")
