@@ -5,8 +5,9 @@ state t.  It starts from the base symbols, any following any, and the merges are
 The gadget of merge (u, v) takes the arc v out of the state u and adds the arc uv: it leaves wherever u's arc left, and
 its state keeps the arcs that v's state had.  So an arc t out of state s dies with the first gadget whose u ends s and
 whose v begins t while both still stand there; each gadget therefore only records, for the new token, from when its
-parts stop being outer ends.  The dense table would be 49k * 49k arcs (300 MB of bits), so rows are expanded from those
-records when first used and kept (bounded): a deterministic automaton built on the fly.
+parts stop being outer ends.  The dense table would be 49k * 49k arcs (300 MB of bits), so there is no compiled
+transition table: no arc is redirected and no state's row is expanded, but each single arc that a word asks for is
+tested against those records, and the answer kept (bounded).
 
 Encoding walks a word's characters through the trie of arc labels: at each place, the one token whose arc leaves the
 state reached at its beginning is taken; the path to the end of the word is the tokenisation.  Decoding emits the arc
