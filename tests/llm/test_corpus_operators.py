@@ -37,7 +37,7 @@ def _brute_components(rows, n, pct):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 3, "near": 2, "salt_at": 5}])
+@pytest.mark.parametrize("options", [{}, {"tile": 3, "near": 2, "salt_at": 5, "hist_bits": 10}])
 def test_ngram_join(docs, options):
     want = _brute_components([(r.doc_id, r.text) for r in docs.collect()], 4, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op9.ngram_jaccard(docs, 4, 85, **options).collect()}
@@ -72,18 +72,51 @@ def _brute_lines(rows, pct, least):
     return {at for n, (at, s) in enumerate(lines) if any(100 * len(s & t) >= pct * len(s | t) for _, t in lines[:n])}
 
 
-@pytest.mark.parametrize("options", [{}, {"witnesses": 1, "salt_at": 7}])
+@pytest.mark.parametrize("options", [{}, {"witnesses": 1, "split_at": 7}])
 def test_line_dedup(docs, options):
-    few = docs.filter("doc_id < 120")
-    want = _brute_lines([(r.doc_id, r.text) for r in few.collect()], 80, 5)
-    assert {tuple(r) for r in op4.repeated_lines(few, **options).collect()} == want
+    want = _brute_lines([(r.doc_id, r.text) for r in docs.collect()], 80, 1)
+    assert {tuple(r) for r in op4.repeated_lines(docs, **options).collect()} == want
 
 
 def test_line_dedup_of_many_variants(spark):
     base = [f"w{i}" for i in range(30)]
     rows = [(i, " ".join([*base[: i % 25], f"x{i}", *base[i % 25 + 1 :]])) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in op4.repeated_lines(df).collect()} == _brute_lines(rows, 80, 5)
+    assert {tuple(r) for r in op4.repeated_lines(df).collect()} == _brute_lines(rows, 80, 1)
+
+
+@pytest.mark.parametrize("options", [{}, {"split_at": 40}])
+def test_line_dedup_when_the_histogram_is_coarse(docs, options):
+    """With few buckets the order is poor, the result the same, and no token counts as crowded for its bucket's sake."""
+    few = docs.filter("doc_id < 100")
+    want = _brute_lines([(r.doc_id, r.text) for r in few.collect()], 80, 1)
+    assert {tuple(r) for r in op4.repeated_lines(few, hist_bits=10, **options).collect()} == want
+
+
+def test_unsettled_lines_meet_all_candidates(spark):
+    """Without the bitmap's bound, near misses crowd out the one true match until the further rounds."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*base[:16], *(f"x{i}y{k}" for k in range(4))])) for i in range(90)]
+    rows += [(500, " ".join(base[:16])), (501, "\n".join([" ".join([*base[:15], "z"]), " ".join([*base[:16], "q1", "q2"])]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute_lines(rows, 80, 1)
+    assert {tuple(r) for r in op4.repeated_lines(df, witnesses=1).collect()} == want and want
+
+
+def test_candidates_of_a_large_group_stay_small():
+    """12,000 similar lines under one token: 72 million pairs pass through a task in blocks."""
+    import resource
+
+    import numpy as np
+
+    n = 12_000
+    rng = np.random.default_rng(1)
+    head = np.full(n, (7 << 32) | (40 << 16) | 3)
+    low = np.zeros(n, np.int64) ^ (np.int64(1) << rng.integers(0, 20, n))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = op4._nearest([head, np.arange(n), np.zeros(n, np.int64), rng.integers(0, 1 << 62, n), low], 80, 4, None)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert out.num_rows == sum(min(4, i) for i in range(n))
 
 
 def test_line_dedup_on_odd_rows(odd, none):

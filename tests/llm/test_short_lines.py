@@ -31,7 +31,7 @@ def short(spark):
 @pytest.mark.parametrize("pct", [50, 75, 80])
 def test_short_lines(short, pct):
     rows, df = short
-    assert {tuple(r) for r in op4.repeated_lines(df, pct, min_tokens=op4.EVERY_LINE).collect()} == _brute(rows, pct)
+    assert {tuple(r) for r in op4.repeated_lines(df, pct).collect()} == _brute(rows, pct)
 
 
 def test_stage_removes_short_lines(short):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,42 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset (local runs)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The cluster's spark.checkpoint.dir; where it is unset a folder of our own on a local master, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{_own_folder()}"
 
 
-_made: dict[str, str] = {}
+class Tables:
+    """The tables that materialise() makes while this scope is the innermost open one.
+
+    drop() deletes these and no others, so frames made elsewhere in the process, by another run say, stay readable.
+    Tables made outside any scope stay until discard() or the folder's owner removes them.
+    """
+
+    _open: ClassVar[list[Tables]] = []
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+    def __enter__(self) -> Tables:
+        Tables._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Tables._open.remove(self)
+
+    def drop(self, spark: SparkSession) -> None:
+        while self.paths:
+            _delete(spark, self.paths.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -36,7 +68,8 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _made[path] = path
+    if Tables._open:
+        Tables._open[-1].paths.add(path)
     out.turnstile_path = path
     return out
 
@@ -44,45 +77,40 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete tables that materialise() made and that nothing unwritten reads any more."""
     for df in frames:
-        path = _made.pop(getattr(df, "turnstile_path", ""), None)
+        path = getattr(df, "turnstile_path", None)
         if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all tables that materialise() made so far but one; for callers that have written their results."""
-    kept = getattr(keep, "turnstile_path", None)
-    for path in [p for p in _made if p != kept]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        del _made[path]
+            for scope in Tables._open:
+                scope.paths.discard(path)
+            _delete(df.sparkSession, path)
 
 
-#: Bits of a membership mask: 2 MB whatever the number of keys.
-MASK_BITS = 24
+#: Bits of a membership mask: 16 a key, between 64 KB and 16 MB.
+MASK_BITS = (19, 27)
 
 
-def _mask_bits(columns: list[pa.Array]) -> np.ndarray:
+def _mask_bits(columns: list[pa.Array], size: int) -> np.ndarray:
     h = np.zeros(len(columns[0]), dtype=np.uint64)
     for c in columns:
         h = tv.mix(h ^ pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    return (h >> np.uint64(64 - MASK_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - size)).astype(np.int64)
 
 
 def member_mask(keys: DataFrame) -> bytes:
     """A mask that holds every row of keys (long or int columns), and now and then another key.
 
-    It only lets rows skip a shuffle; an exact join decides on those it lets through.  Each task sends its own bits;
-    they are united by slice, and the 2 MB result goes to the tasks.
+    It only lets rows skip a shuffle; an exact join decides on those it lets through.  Its size follows the number of
+    keys up to 16 MB (134 million bits); beyond some ten million keys it lets more and more through, never less.  Each
+    task sends its own bits; they are united by slice before they reach the driver.
     """
     names = keys.columns
+    size = min(MASK_BITS[1], max(MASK_BITS[0], (16 * keys.count()).bit_length()))
 
     def own(batches):
-        bits = np.zeros(1 << MASK_BITS, dtype=bool)
+        bits = np.zeros((1 << size) // 8, dtype=np.uint8)
         for b in batches:
-            bits[_mask_bits([b[n] for n in names])] = True
-        parts = np.split(np.packbits(bits), HIST_SLICES)
+            at = _mask_bits([b[n] for n in names], size)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        parts = np.split(bits, HIST_SLICES)
         some = [k for k, x in enumerate(parts) if x.any()]
         yield record_batch(["slice", "bits"], [some, [zlib.compress(parts[k].tobytes(), 1) for k in some]], [pa.int32(), pa.binary()])
 
@@ -94,7 +122,7 @@ def member_mask(keys: DataFrame) -> bytes:
                 united[k] = united[k] | part if k in united else part
         yield record_batch(["slice", "bits"], [list(united), [zlib.compress(x.tobytes(), 1) for x in united.values()]], [pa.int32(), pa.binary()])
 
-    out = np.zeros((1 << MASK_BITS) // 8, dtype=np.uint8)
+    out = np.zeros((1 << size) // 8, dtype=np.uint8)
     width = len(out) // HIST_SLICES
     schema = "slice int, bits binary"
     for k, blob in keys.mapInArrow(own, schema).repartition(HIST_SLICES, "slice").mapInArrow(unite, schema).collect():
@@ -103,11 +131,12 @@ def member_mask(keys: DataFrame) -> bytes:
 
 
 def open_mask(mask: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(mask), dtype=np.uint8)).view(bool)
+    return np.frombuffer(zlib.decompress(mask), dtype=np.uint8)
 
 
 def in_mask(bits: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
-    return bits[_mask_bits(columns)]
+    at = _mask_bits(columns, (8 * len(bits)).bit_length() - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
 
 
 def masked(df: DataFrame, mask: bytes, key: str, inside: bool = True) -> DataFrame:
@@ -140,23 +169,33 @@ def record_batch(names: list[str], columns: list, types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-#: Hash buckets of the rarity histogram: 2**18 counters of 4 bytes, 1 MB whatever the corpus.
-HIST_BITS = 18
+#: Hash buckets of the rarity histogram: 2**20 counters of 4 bytes in a task, a byte each where it is sent out.
+HIST_BITS = 20
 HIST_SLICES = 16
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - HIST_BITS)).astype(np.int64)
+def bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; buckets is a power of two."""
+    return (hashes >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def hist_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     """A task's histogram as HIST_SLICES compressed slices."""
     parts = np.split(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), HIST_SLICES)
-    return list(range(HIST_SLICES)), [zlib.compress(x.tobytes(), 1) for x in parts]
+    some = [k for k, x in enumerate(parts) if x.any()]
+    return some, [zlib.compress(parts[k].tobytes(), 1) for k in some]
 
 
-def merge_hist(slices: DataFrame) -> np.ndarray:
-    """Sum the tasks' (slice, counts) rows; HIST_SLICES rows of fixed size reach the driver."""
+def levels(hist: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 256 levels, finest where they are small: all that the order of rarity needs."""
+    out = np.minimum(hist, 15).astype(np.float64)
+    large = hist > 15
+    out[large] = np.minimum(15 + 8 * np.log2(hist[large] / 15.0), 255)
+    return out.astype(np.uint8)
+
+
+def merge_hist(slices: DataFrame, bits: int = HIST_BITS) -> np.ndarray:
+    """Levels of the sum of the tasks' (slice, counts) rows; HIST_SLICES rows of fixed size reach the driver."""
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -165,19 +204,19 @@ def merge_hist(slices: DataFrame) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint32).astype(np.uint64)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield record_batch(["slice", "counts"], [list(sums), [zlib.compress(x.tobytes(), 1) for x in sums.values()]], [pa.int32(), pa.binary()])
+            yield record_batch(["slice", "counts"], [list(sums), [zlib.compress(levels(x).tobytes(), 1) for x in sums.values()]], [pa.int32(), pa.binary()])
 
-    out = np.zeros(1 << HIST_BITS, dtype=np.uint64)
+    out = np.zeros(1 << bits, dtype=np.uint8)
     width = len(out) // HIST_SLICES
     merged = slices.repartition(HIST_SLICES, "slice").mapInArrow(merge, "slice int, counts binary")
     for k, blob in merged.collect():
-        out[k * width : (k + 1) * width] += np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint64)
+        out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint8)
     return out
 
 
 def rank_by_rarity(hist: np.ndarray, uniq: np.ndarray) -> np.ndarray:
-    """Places of sorted distinct hashes in the one global order (bucket count, hash)."""
-    order = np.argsort(hist[bucket(uniq)], kind="stable")
+    """Places of sorted distinct hashes in the one global order (bucket level, hash)."""
+    order = np.argsort(hist[bucket(uniq, len(hist))], kind="stable")
     out = np.empty(len(uniq), dtype=np.int64)
     out[order] = np.arange(len(uniq))
     return out

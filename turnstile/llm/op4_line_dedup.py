@@ -3,22 +3,27 @@
 A line's set holds the 64-bit hashes of its distinct words, A-Z lowered.  Tokens are ordered by rarity, read from a
 fixed-size histogram of all lines (any one global order is exact).  Two sets at Jaccard >= t share a token among their
 n - ceil(t n) + 1 rarest ones; those prefixes meet by token, where the length filter, the positional filter and a
-128-bit bitmap (its differing bits bound the overlap from above) leave few pairs; these are verified on whole sets.
+96-bit parity bitmap leave few pairs; these are verified on whole sets.  (A bit counts the set's tokens of one hash
+class modulo two, so two bitmaps differ in at most as many bits as the sets differ in tokens, however long the lines.)
 Lines are ordered by (doc_id, line number).  A line goes if an earlier line of the corpus has an equal set, or is
 similar to it, whether or not that earlier line itself stays.
 
-Of a line's candidates under one token the WITNESSES nearest by bitmap are verified first.  One true match settles a
-line; lines that none settled and that had more candidates are compared again with all of them under the tokens in
-question, so the number is no cap.  Tokens of very many lines are dealt out by pairs of salts.  The lines to verify are
-found again by a scan with a membership mask, so whole texts are never shuffled.
+Equal sets are found by a 128-bit name.  Under a token they collapse to their first line, in the task that scans them
+and again where they meet, so copies make no pairs.  A posting is five longs, sorted by one of them.
+
+Of a line's candidates under one token the WITNESSES nearest by bitmap are kept, a number that grows sixteenfold in
+each further round for the few lines that none of them settled and that had more, until none is left: no cap.  Tokens
+of more than SPLIT_AT different sets are set aside where they are met (found exactly, not estimated) and dealt out to
+cells of bounded size.  The lines to verify are found again by a scan with a membership mask, so whole texts are never
+shuffled.
 
 Sets of very few words (n/(n+1) below the similarity: under four at 0.8) can be similar to equal sets only, which are
 found by name, so their prefixes stay out of the join.
 
-Defined results: null text is empty; a line with fewer than min_tokens distinct words always stays: in the query and in
-remove_lines() only one without words; rows without doc_id are left alone and match nothing; rows that repeat a doc_id
-count as one document.  Extra columns pass through remove_lines().  A document that loses every line with words has no
-text left and is dropped there.
+Defined results: null text is empty; a line with fewer than min_tokens distinct words always stays, by default only one
+without words; rows without doc_id are left alone and match nothing; rows that repeat a doc_id count as one document.
+Extra columns pass through remove_lines().  A document that loses every line with words has no text left and is dropped
+there.
 """
 
 from __future__ import annotations
@@ -33,11 +38,16 @@ from turnstile.llm import common as cm
 from turnstile.llm import textvec as tv
 
 PCT = 80
-MIN_TOKENS = 5
-#: The query and remove_lines() take every line that has a word; repeated_lines() alone keeps its old floor by default.
-EVERY_LINE = 1
+MIN_TOKENS = 1
 WITNESSES = 4
-SALT_AT = 100_000
+#: Different sets under one token that one task compares.
+SPLIT_AT = 50_000
+#: Postings looked at together; bounds a task's memory along with SPLIT_AT.
+GATHER = 200_000
+#: Pairs whose filters are computed at a time.
+PAIR_BLOCK = 1 << 20
+#: Sizes and places from here on are not told apart; the filters let them pass.
+LARGE = 0xFFFF
 
 
 class _Lines:
@@ -61,60 +71,57 @@ class _Lines:
         kept = np.flatnonzero(size >= min_tokens)
         self.first, self.size, self.row = first[kept], size[kept], line.row[kept]
         self.number = (kept - line.first[line.row[kept]]).astype(np.int64)
-        mixed = tv.mix(self.tokens)
-        sums = np.add.reduceat(mixed, self.first) if len(kept) else np.zeros(0, np.uint64)
-        if len(kept):
-            # reduceat runs to the next kept line: take back the words of short lines between.
-            total = np.append(np.uint64(0), np.cumsum(mixed))
-            sums = total[self.first + self.size] - total[self.first]
-        self.name = tv.mix(sums ^ self.size.astype(np.uint64)).view(np.int64)
+
+    def names(self, seed: int = 0) -> np.ndarray:
+        """64 bits that equal sets share; another seed gives 64 others."""
+        total = np.append(np.uint64(0), np.cumsum(tv.mix(self.tokens ^ np.uint64(seed))))
+        return tv.mix((total[self.first + self.size] - total[self.first]) ^ self.size.astype(np.uint64)).view(np.int64)
 
     def tokens_of(self, i: int) -> np.ndarray:
         return self.tokens[self.first[i] : self.first[i] + self.size[i]]
 
+    def parities(self, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(64 bits, 32 bits) of the lines named: parities of the tokens of 96 hash classes."""
+        size = self.size[take]
+        starts = np.cumsum(size) - size
+        tokens = self.tokens[np.arange(int(size.sum())) + np.repeat(self.first[take] - starts, size)]
+        place = (tokens >> np.uint64(32)) * np.uint64(96) >> np.uint64(32)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        low, high = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (place < 64, place >= 64))
+        return low.view(np.int64), high.view(np.int64)
 
-def _profile(min_tokens: int):
-    names = ["name", "doc_id", "line", "slice", "counts"]
+
+def _profile(min_tokens: int, hist_bits: int):
+    names = ["name", "name2", "doc_id", "line", "slice", "counts"]
 
     def run(batches):
-        counts = np.zeros(1 << cm.HIST_BITS, dtype=np.int64)
+        counts = np.zeros(1 << hist_bits, dtype=np.uint32)
         for batch in batches:
             ids = batch["doc_id"]
             for chunk in tv.chunks(batch["text"]):
                 x = _Lines(chunk, None, min_tokens)
-                counts += np.bincount(cm.bucket(x.tokens), minlength=len(counts))
+                np.add.at(counts, cm.bucket(x.tokens, len(counts)), np.uint32(1))
                 n = len(x.row)
-                yield pa.RecordBatch.from_arrays([pa.array(x.name), ids.take(pa.array(x.row + chunk.lo)), pa.array(x.number), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x.names()), pa.array(x.names(1)), ids.take(pa.array(x.row + chunk.lo)), pa.array(x.number, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         slices, blobs = cm.hist_rows(counts)
         none = pa.nulls(len(slices), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slices), pa.int32()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
 
-_PROFILE = "name long, doc_id long, line long, slice int, counts binary"
-
+_PROFILE = "name long, name2 long, doc_id long, line int, slice int, counts binary"
 
-def _bitmaps(x: _Lines) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words a line: a bit for each token hash modulo 128."""
-    owner = np.repeat(np.arange(len(x.first)), x.size)
-    at = np.arange(len(owner)) + np.repeat(x.first - np.append(0, np.cumsum(x.size)[:-1]), x.size) if len(owner) else np.zeros(0, np.int64)
-    tokens = x.tokens[at]
-    bit = np.uint64(1) << (tokens & np.uint64(63))
-    high = (tokens >> np.uint64(6)) & np.uint64(1)
-    starts = np.append(0, np.cumsum(x.size)[:-1])
-    out = []
-    for half in (0, 1):
-        part = np.where(high == half, bit, np.uint64(0))
-        out.append(np.bitwise_or.reduceat(part, starts) if len(starts) else np.zeros(0, np.uint64))
-    return out[0], out[1]
+#: head: 32 bits of the token, size and place in the set, 16 bits each; tail: line number and 32 parities.
+_POST = ["head", "doc_id", "tail", "name", "low"]
+_POST_SQL = ", ".join(f"{c} long" for c in _POST)
 
 
-_POST = [("key", pa.int64()), ("salt_a", pa.int32()), ("salt_b", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("m0", pa.int64()), ("m1", pa.int64())]
-_POST_SQL = "key long, salt_a int, salt_b int, n int, at int, doc_id long, line int, m0 long, m1 long"
+def _key(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)
 
 
-def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int, mask: bytes | None = None):
+def _postings(hist: np.ndarray, pct: int, min_tokens: int, mask: bytes | None = None):
     """Prefix tokens (those in the mask, if any) of each line whose set the task has not seen at an earlier place."""
 
     def run(batches):
@@ -126,130 +133,228 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, salt_at: int, mask: b
             for chunk in tv.chunks(batch["text"]):
                 # Only sets that a different one can be similar to: the nearest has one token more.
                 x = _Lines(chunk, hist, max(min_tokens, -(-pct // (100 - pct)) if pct < 100 else 1))
-                if not len(x.row):
-                    continue
-                m0, m1 = _bitmaps(x)
                 rows = x.row + chunk.lo
+                name = x.names()
                 take = []
-                for i, (name, r, line) in enumerate(zip(x.name.tolist(), rows.tolist(), x.number.tolist(), strict=True)):
-                    if known[r]:
-                        here = (int(ids[r]), line)
-                        if name not in seen or here < seen[name]:
-                            seen[name] = here
-                            take.append(i)
-                take = np.array(take, dtype=np.int64)
-                if not len(take):
+                for i, (own, doc, line, ok) in enumerate(zip(name.tolist(), ids[rows].tolist(), x.number.tolist(), known[rows].tolist(), strict=True)):
+                    if ok and ((before := seen.get(own)) is None or (doc, line) < before):
+                        seen[own] = (doc, line)
+                        take.append(i)
+                if not take:
                     continue
+                take = np.array(take, dtype=np.int64)
+                low, high = x.parities(take)
                 size = x.size[take]
                 reach = size + (-pct * size // 100) + 1
-                owner = np.repeat(take, reach)
-                at = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(reach)[:-1]), reach)
-                token = x.tokens[x.first[owner] + at]
+                owner = np.repeat(np.arange(len(take)), reach)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(reach) - reach, reach)
+                key = _key(x.tokens[x.first[take][owner] + at])
                 if bits is not None:
-                    asked = cm.in_mask(bits, [pa.array(token.view(np.int64))])
-                    owner, at, token = owner[asked], at[asked], token[asked]
-                salts = (hist[cm.bucket(token)].astype(np.int64) - 1) // salt_at + 1
-                own = (x.name[owner].view(np.uint64) % salts.astype(np.uint64)).astype(np.int64)
-                if (salts > 1).any():
-                    # A salted token's line goes to each unordered pair of salts that has its own.
-                    again = np.repeat(np.arange(len(owner)), salts)
-                    other = np.arange(len(again)) - np.repeat(np.append(0, np.cumsum(salts)[:-1]), salts)
-                    owner, at, token, own = owner[again], at[again], token[again], own[again]
-                else:
-                    other = own
-                r = rows[owner]
-                cols = [token.view(np.int64), np.minimum(own, other), np.maximum(own, other), x.size[owner], at, ids[r].astype(np.int64), x.number[owner], m0[owner].view(np.int64), m1[owner].view(np.int64)]
-                yield cm.record_batch([n for n, _ in _POST], cols, [t for _, t in _POST])
+                    asked = cm.in_mask(bits, [pa.array(key)])
+                    owner, at, key = owner[asked], at[asked], key[asked]
+                head = key << 32 | np.minimum(size, LARGE)[owner] << 16 | np.minimum(at, LARGE)
+                tail = x.number[take] << 32 | high
+                yield cm.record_batch(_POST, [head, ids[rows[take]].astype(np.int64)[owner], tail[owner], name[take][owner], low[owner]], [pa.int64()] * 5)
 
     return run
 
 
-_PAIRS = "doc_id long, line int, by_doc long, by_line int, more_under long"
-
+def _firsts(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Postings by (head, name), those of equal sets reduced to the earliest line's."""
+    head, doc, tail, name, low = cols[:5]
+    order = np.lexsort((name, head))
+    same = (head[order][1:] == head[order][:-1]) & (name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1])
+    if same.any():
+        order = np.lexsort((tail, doc, low, name, head))
+        same = (head[order][1:] == head[order][:-1]) & (name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1])
+        order = order[np.append(True, ~same)]
+    return [c[order] for c in cols]
 
-#: Pairs whose filters are computed at a time.
-PAIR_BLOCK = 1 << 20
 
+def _nearest(cols: list[np.ndarray], pct: int, witnesses: int, asked: np.ndarray | None) -> pa.RecordBatch | None:
+    """Each line's nearest earlier candidates under each token of whole groups of postings.
 
-def _pass_filters(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later line, earlier line, differing bits) of the pairs that the positional and bitmap bounds leave."""
-    _, n, at, doc, line, m0, m1 = cols
-    total = n[i] + n[j]
-    need = -(-pct * total // (100 + pct))
-    ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= need
-    i, j, total, need = i[ok], j[ok], total[ok], need[ok]
-    differ = np.bitwise_count((m0[i] ^ m0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((m1[i] ^ m1[j]).view(np.uint64))
-    ok = ((total - differ) // 2 >= need) & ((doc[i] != doc[j]) | (line[i] != line[j]))
-    i, j, differ = i[ok], j[ok], differ[ok]
-    i_later = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
-    return np.where(i_later, i, j), np.where(i_later, j, i), differ
+    cols may end with a cell's two salts and the row's own: then only pairs are made that no other cell makes.
+    """
+    cols = _firsts(cols)
+    head, doc, tail, name, low = cols[:5]
+    key, n, at = head >> 32, head >> 16 & 0xFFFF, head & 0xFFFF
+    line, high = tail >> 32, tail & 0xFFFFFFFF
+    rows = np.arange(len(key))
+    group = np.append(0, np.cumsum(key[1:] != key[:-1]))
+    lo = np.searchsorted(group << 17 | n, group << 17 | -(-pct * n // 100))
+    reach = rows - lo
+    done = np.append(0, np.cumsum(reach))
+    kept, waiting = [], 0
+
+    def trimmed(parts: list[np.ndarray], most: int) -> np.ndarray:
+        """Packed (later row, differing bits, earlier row), the first few of each later row."""
+        packed = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        if not len(packed):
+            return packed
+        start = np.flatnonzero(np.append(True, packed[1:] >> 32 != packed[:-1] >> 32))
+        rank = np.arange(len(packed)) - np.repeat(start, np.diff(np.append(start, len(packed))))
+        return packed[rank < most]
+
+    start = 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + PAIR_BLOCK, side="right")) - 1)
+        i = np.repeat(rows[start:stop], reach[start:stop])
+        j = np.arange(len(i)) - np.repeat(done[start:stop] - done[start], reach[start:stop]) + np.repeat(lo[start:stop], reach[start:stop])
+        start = stop
+        if len(cols) > 5:
+            a, b, own = cols[5:]
+            apart = (a[i] == b[i]) | (own[i] != own[j])
+            i, j = i[apart], j[apart]
+        total = n[i] + n[j]
+        need = -(-pct * total // (100 + pct))
+        differ = np.bitwise_count((low[i] ^ low[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[i] ^ high[j]).view(np.uint64))
+        ok = ((total - differ) // 2 >= need) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) | (n[i] == LARGE)
+        i, j, differ = i[ok], j[ok], differ[ok]
+        i_later = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
+        later, earlier = np.where(i_later, i, j), np.where(i_later, j, i)
+        other = (doc[i] != doc[j]) | (line[i] != line[j])
+        if asked is not None:
+            other &= cm.in_mask(asked, [pa.array(doc[later]), pa.array(line[later])])
+        kept.append(trimmed([(later << 32 | differ << 24 | earlier)[other]], witnesses + 1))
+        waiting += len(kept[-1])
+        if waiting > PAIR_BLOCK:
+            kept = [trimmed(kept, witnesses + 1)]
+            waiting = len(kept[0]) // 2
+    found = trimmed(kept, witnesses + 1)
+    if not len(found):
+        return None
+    later, earlier = found >> 32, found & 0xFFFFFF
+    start = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
+    count = np.diff(np.append(start, len(later)))
+    keep = np.arange(len(later)) - np.repeat(start, count) < witnesses
+    more = np.repeat(count, count) > witnesses
+    later, earlier, differ, more = later[keep], earlier[keep], (found >> 24 & 0xFF)[keep], more[keep]
+    columns = [doc[later], line[later], doc[earlier], line[earlier], differ, pa.array(key[later], mask=~more)]
+    return cm.record_batch(_FOUND, [np.zeros(len(later), np.int32), *columns], [pa.int32(), *[pa.int64()] * 6])
+
+
+#: kind 0: a candidate (doc_id, line, by_doc, by_line, differ, the token's key if there were more); kind 1: a posting.
+_FOUND = ["kind", "c0", "c1", "c2", "c3", "c4", "c5"]
+_FOUND_SQL = "kind int, c0 long, c1 long, c2 long, c3 long, c4 long, c5 long"
+
+
+def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
+def _meet(pct: int, witnesses: int, split_at: int, mask: bytes | None):
+    """Candidates among postings that come sorted by head; postings of tokens with more sets than split_at go on."""
+
+    def aside(cols):
+        n = len(cols[0])
+        return cm.record_batch(_FOUND, [np.ones(n, np.int32), *cols, np.zeros(n, np.int64)], [pa.int32(), *[pa.int64()] * 6])
 
+    def run(batches):
+        asked = None if mask is None else cm.open_mask(mask)
+        held: list[list[np.ndarray]] = []
+        waiting, crowded = 0, None
+        for batch in batches:
+            held.append(_numbers(batch, _POST))
+            waiting += batch.num_rows
+            if waiting < min(GATHER, 2 * split_at):
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            key = cols[0] >> 32
+            if crowded is not None:
+                to = int(np.searchsorted(key, crowded, side="right"))
+                if to:
+                    yield aside([c[:to] for c in cols])
+                if to < len(key):
+                    crowded = None
+                cols = [c[to:] for c in cols]
+                key = key[to:]
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if cut:
+                yield from _groups([c[:cut] for c in cols], split_at, aside, asked)
+            cols = [c[cut:] for c in cols]
+            if len(cols[0]) > split_at:
+                cols = _firsts(cols)
+                if len(cols[0]) > split_at:
+                    crowded = int(key[-1])
+                    yield aside(cols)
+                    cols = [c[:0] for c in cols]
+            held, waiting = [cols], len(cols[0])
+        if waiting:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            if crowded is not None:
+                to = int(np.searchsorted(cols[0] >> 32, crowded, side="right"))
+                yield aside([c[:to] for c in cols])
+                cols = [c[to:] for c in cols]
+            if len(cols[0]):
+                yield from _groups(cols, split_at, aside, asked)
+
+    def _groups(cols, split_at, aside, asked):
+        key = cols[0] >> 32
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        large = np.repeat(size > split_at, size)
+        if large.any():
+            yield aside([c[large] for c in cols])
+            cols = [c[~large] for c in cols]
+        if len(cols[0]):
+            out = _nearest(cols, pct, witnesses, asked)
+            if out is not None:
+                yield out
 
-def _candidates(pct: int, witnesses: int | None, mask: bytes | None = None):
-    """For each line under a token, earlier lines that pass the filters: the nearest few, or all of a masked line's.
+    return run
 
-    more_under is the token if there were more than the few.
 
-    Rows come sorted by token and size; only the window of sizes that the length filter allows is carried from one
-    batch to the next.
-    """
-    names, types = ["doc_id", "line", "by_doc", "by_line", "more_under"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-
-    def nearest(keys, cols, later, earlier, differ):
-        """A batch's rows out; places of the line make its group, under each token apart."""
-        order = np.lexsort((earlier, differ, later))
-        later, earlier = later[order], earlier[order]
-        new = np.append(True, later[1:] != later[:-1]) if len(later) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(later)))
-        rank = np.arange(len(later)) - np.repeat(start, size)
-        more = np.repeat(size, size) > (witnesses or len(later))
-        if witnesses is not None:
-            keep = rank < witnesses
-            later, earlier, more = later[keep], earlier[keep], more[keep]
-        doc, line = cols[3], cols[4]
-        return cm.record_batch(names, [doc[later], line[later], doc[earlier], line[earlier], pa.array(keys[later], mask=~more)], types)
+def _meet_in_cells(pct: int, witnesses: int, mask: bytes | None):
+    """The same among the postings of crowded tokens, which come sorted by token and cell."""
+    names = [*_POST, "a", "b", "own"]
 
     def run(batches):
-        carried = None
-        bits = None if mask is None else cm.open_mask(mask)
+        asked = None if mask is None else cm.open_mask(mask)
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "salt_a", "salt_b", "n", "at", "doc_id", "line", "m0", "m1")]
-            if carried is not None:
-                raw = [np.append(c, r) for c, r in zip(carried, raw, strict=True)]
-            fresh = 0 if carried is None else len(carried[0])
-            change = (raw[0][1:] != raw[0][:-1]) | (raw[1][1:] != raw[1][:-1]) | (raw[2][1:] != raw[2][:-1])
-            group = np.append(0, np.cumsum(change))
-            cols = [group, *raw[3:]]
-            n = cols[1]
-            span = int(n.max()) + 1
-            lo = np.searchsorted(group * span + n, group * span - (-pct * n // 100))
-            reach = np.arange(len(n)) - lo
-            reach[:fresh] = 0
-            done = np.append(0, np.cumsum(reach))
-            found = []
-            at = 0
-            while at < len(n):
-                to = max(at + 1, int(np.searchsorted(done, done[at] + PAIR_BLOCK, side="right")) - 1)
-                i = np.repeat(np.arange(at, to), reach[at:to])
-                j = np.arange(len(i)) - np.repeat(done[at:to] - done[at], reach[at:to]) + np.repeat(lo[at:to], reach[at:to])
-                later, earlier, differ = _pass_filters(cols, i, j, pct)
-                if bits is not None:
-                    asked = cm.in_mask(bits, [pa.array(cols[3][later]), pa.array(cols[4][later])])
-                    later, earlier, differ = later[asked], earlier[asked], differ[asked]
-                found.append((later, earlier, differ))
-                at = to
-            later, earlier, differ = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(later):
-                yield nearest(raw[0], cols, later, earlier, differ)
-            open_from = int(lo[-1])
-            carried = [c[open_from:] for c in raw]
+            held.append(_numbers(batch, names))
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            edge = (cols[0][1:] >> 32 != cols[0][:-1] >> 32) | (cols[5][1:] != cols[5][:-1]) | (cols[6][1:] != cols[6][:-1])
+            cuts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                out = _nearest([c[lo:hi] for c in cols], pct, witnesses, asked)
+                if out is not None:
+                    yield out
+            held = [[c[cuts[-1] :] for c in cols]]
+        if held:
+            out = _nearest(held[0], pct, witnesses, asked)
+            if out is not None:
+                yield out
 
     return run
 
 
+def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, witnesses: int, split_at: int, tokens: bytes | None = None, lines: bytes | None = None) -> DataFrame:
+    """(doc_id, line, near, more): a line's nearest candidates and the tokens under which there were others."""
+    posts = docs.mapInArrow(_postings(hist, pct, min_tokens, tokens), _POST_SQL)
+    found = cm.materialise(posts.repartition(F.shiftright("head", 32)).sortWithinPartitions("head").mapInArrow(_meet(pct, witnesses, split_at, lines), _FOUND_SQL))
+    near = found.filter("kind = 0")
+    crowded = found.filter("kind = 1")
+    if crowded.limit(1).count():
+        key = F.shiftright("head", 32)
+        # Once more one row a set; then a token's sets are dealt to pairs of salts, so that each two meet in one cell.
+        sets = crowded.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(_POST)))
+        sets = cm.materialise(sets.groupBy("head", "name", "low").agg(F.min(F.struct("doc_id", "tail")).alias("first")).select("head", "first.doc_id", "first.tail", "name", "low"))
+        salts = sets.groupBy(key.alias("of")).agg(F.ceil(F.count("*") / split_at).alias("salts"))
+        dealt = sets.join(salts, key == F.col("of")).withColumn("own", F.pmod(F.xxhash64("name"), "salts"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        dealt = dealt.select(*_POST, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+        cells = dealt.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "head")
+        near = near.unionByName(cells.mapInArrow(_meet_in_cells(pct, witnesses, lines), _FOUND_SQL))
+    near = near.select(F.col("c0").alias("doc_id"), F.col("c1").cast("int").alias("line"), F.struct(F.col("c4").alias("differ"), F.col("c2").alias("by_doc"), F.col("c3").cast("int").alias("by_line")).alias("by"), "c5")
+    out = cm.materialise(near.groupBy("doc_id", "line").agg(F.array_sort(F.collect_set("by")).alias("near"), F.collect_set("c5").alias("more")))
+    cm.discard(found)
+    return out
+
+
 def _line_sets(min_tokens: int, mask: bytes):
     """The token sets of the lines that the mask holds."""
 
@@ -284,45 +389,51 @@ def _similar(pct: int):
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     """(doc_id, line) of the pairs' lines that are similar to the earlier line beside them."""
-    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line")))
-    sets = docs.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary")
-    sets = cm.materialise(sets)
     by = sets.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("tokens").alias("by_tokens"))
     both = pairs.join(sets, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "tokens", "by_tokens")
-    out = cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
+    return cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
+
+
+def _settled(docs: DataFrame, found: DataFrame, pct: int, min_tokens: int) -> DataFrame:
+    """Lines of found that one of their candidates is similar to: the nearest is tried first, then all others."""
+    ends = found.select("doc_id", "line").unionByName(found.select(F.explode("near").alias("by")).select(F.col("by.by_doc").alias("doc_id"), F.col("by.by_line").alias("line")).distinct())
+    sets = cm.materialise(docs.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary"))
+    pair = ["doc_id", "line", "by.by_doc", "by.by_line"]
+    first = _verified(sets, found.select("doc_id", "line", F.element_at("near", 1).alias("by")).select(*pair), pct)
+    rest = found.filter(F.size("near") > 1).join(first, ["doc_id", "line"], "left_anti")
+    others = _verified(sets, rest.select("doc_id", "line", F.explode(F.slice("near", 2, F.size("near") - 1)).alias("by")).select(*pair), pct)
     cm.discard(sets)
-    return out
+    return first.unionByName(others)
 
 
-def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS, witnesses: int = WITNESSES, salt_at: int = SALT_AT) -> DataFrame:
+def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS, witnesses: int = WITNESSES, split_at: int = SPLIT_AT, hist_bits: int = cm.HIST_BITS) -> DataFrame:
     """(doc_id, line) of the lines that repeat an earlier one."""
     docs = cm.with_columns(docs, doc_id="long", text="string")
-    scan = cm.materialise(docs.mapInArrow(_profile(min_tokens), _PROFILE))
-    hist = cm.merge_hist(scan.filter("slice is not null").select("slice", "counts"))
-    lines = scan.filter("slice is null and doc_id is not null").select("name", "doc_id", F.col("line").cast("int").alias("line"))
-    firsts = cm.materialise(lines.groupBy("name").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")))
-    copies = lines.join(firsts, "name").filter("doc_id > first_doc or (doc_id = first_doc and line > first_line)").select("doc_id", "line")
-
-    posts = docs.mapInArrow(_postings(hist, pct, min_tokens, salt_at), _POST_SQL)
-    sorted_posts = posts.repartition("key", "salt_a", "salt_b").sortWithinPartitions("key", "salt_a", "salt_b", "n")
-    more = F.collect_set("more_under").alias("more_under")
-    found = cm.materialise(sorted_posts.mapInArrow(_candidates(pct, witnesses), _PAIRS).groupBy("doc_id", "line", "by_doc", "by_line").agg(more))
-    similar = _verify(docs, found.drop("more_under"), pct, min_tokens)
-    open_lines = found.filter(F.size("more_under") > 0).join(similar, ["doc_id", "line"], "left_anti").join(copies, ["doc_id", "line"], "left_anti")
-    unsettled = cm.materialise(open_lines.select("doc_id", "line", F.explode("more_under").alias("key")).distinct())
-    if unsettled.limit(1).count():
-        # The few lines whose nearest candidates all failed meet every candidate, under the tokens that had more.
-        tokens, asked = cm.member_mask(unsettled.select("key")), cm.member_mask(unsettled.select("doc_id", "line"))
-        posts = docs.mapInArrow(_postings(hist, pct, min_tokens, salt_at, tokens), _POST_SQL)
-        again = posts.repartition("key", "salt_a", "salt_b").sortWithinPartitions("key", "salt_a", "salt_b", "n").mapInArrow(_candidates(pct, None, asked), _PAIRS)
-        lines_left = unsettled.select("doc_id", "line").distinct()
-        rest = cm.materialise(again.join(lines_left, ["doc_id", "line"], "left_semi").select("doc_id", "line", "by_doc", "by_line").distinct())
-        similar = similar.unionByName(_verify(docs, rest, pct, min_tokens))
-        cm.discard(rest)
-    cm.discard(found, unsettled)
-    return copies.unionByName(similar).distinct()
+    scan = cm.materialise(docs.mapInArrow(_profile(min_tokens, hist_bits), _PROFILE))
+    hist = cm.merge_hist(scan.filter("slice is not null").select("slice", "counts"), hist_bits)
+    lines = scan.filter("slice is null and doc_id is not null").select("name", "name2", "doc_id", "line")
+    firsts = lines.groupBy("name", "name2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "name2", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+    copies = cm.materialise(lines.join(firsts, ["name", "name2"]).filter("doc_id > first_doc or (doc_id = first_doc and line > first_line)").select("doc_id", "line"))
+    cm.discard(scan)
+
+    asked = _candidates(docs, hist, pct, min_tokens, witnesses, split_at)
+    similar = []
+    while True:
+        similar.append(_settled(docs, asked, pct, min_tokens))
+        unsettled = cm.materialise(asked.filter(F.size("more") > 0).join(similar[-1], ["doc_id", "line"], "left_anti").select("doc_id", "line", "more"))
+        cm.discard(asked)
+        if not unsettled.limit(1).count():
+            break
+        witnesses *= 16
+        tokens = cm.member_mask(unsettled.select(F.explode("more").alias("key")).distinct())
+        found = _candidates(docs, hist, pct, min_tokens, witnesses, split_at, tokens, cm.member_mask(unsettled.select(F.col("doc_id"), F.col("line").cast("long").alias("line"))))
+        asked = cm.materialise(found.join(unsettled.select("doc_id", "line"), ["doc_id", "line"], "left_semi"))
+        cm.discard(found)
+    for part in similar:
+        copies = copies.unionByName(part)
+    return copies.distinct()
 
 
 def per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -332,7 +443,7 @@ def per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the repeated lines; documents left without words are dropped; n_chars, if any, is counted anew."""
-    gone = cm.materialise(per_document(docs, repeated_lines(docs, **{"min_tokens": EVERY_LINE, **options})))
+    gone = cm.materialise(per_document(docs, repeated_lines(docs, **options)))
     mask = cm.member_mask(gone.select("__removed_doc"))
     touched = cm.masked(docs, mask, "doc_id")
     joined = touched.join(gone, touched["doc_id"] == gone["__removed_doc"], "left")
@@ -345,8 +456,9 @@ def remove_lines(docs: DataFrame, **options) -> DataFrame:
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = cm.with_columns(cm.read_table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    gone = cm.materialise(per_document(docs, repeated_lines(docs, min_tokens=EVERY_LINE)))
-    n_lines = (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).cast("long")
+    gone = cm.materialise(per_document(docs, repeated_lines(docs)))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     counted = docs.select("doc_id", n_lines.alias("n_lines"))
     out = counted.join(gone, counted.doc_id == gone["__removed_doc"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"))

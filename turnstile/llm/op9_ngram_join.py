@@ -35,8 +35,11 @@ TILE_GRAMS = 4_000_000
 BITMAP = 512
 #: Neighbours that a set is paired with under one gram; beyond them the gram's sets are tied.
 NEAR = 48
-#: Postings of one gram that a single sort key takes before it is salted.
+#: Sets under one gram that a single sort key takes before it is salted; at least one in HEAVY of all documents.
 SALT_AT = 200_000
+HEAVY = 4096
+#: A gram is counted in those Arrow batches where at least one in so many documents holds it.
+SEEN_OFTEN = 256
 
 
 def _sets(batches, n: int, id_col: str = "doc_id"):
@@ -52,47 +55,74 @@ def _sets(batches, n: int, id_col: str = "doc_id"):
                 yield batch, chunk.lo + r, g
 
 
-def _signature(s: np.ndarray) -> int:
-    """64-bit name of a set; 0 is kept for the empty set."""
+def _signature(s: np.ndarray, seed: int = 0) -> int:
+    """64-bit name of a set; 0 is kept for the empty set.  Another seed gives 64 further bits."""
     if not len(s):
         return 0
-    x = int(np.sum(tv.mix(s ^ np.uint64(len(s))), dtype=np.uint64))
+    x = int(np.sum(tv.mix(s ^ np.uint64(len(s) + (seed << 48))), dtype=np.uint64))
     return (x or 1) - (1 << 64) if x >= 1 << 63 else (x or 1)
 
 
-_PROFILE = "doc_id long, sig long, n long, bits binary, slice int, counts binary"
+#: A document's row; or, with a slice, a slice of the task's histogram; or, with slice -1, a gram (sig) and its count (n).
+_PROFILE = "doc_id long, sig long, sig2 long, n long, bits binary, slice int, counts binary"
 
 
-def _profile(n: int):
+def _profile(n: int, hist_bits: int):
     names = [c.split()[0] for c in _PROFILE.split(", ")]
 
     def run(batches):
-        counts = np.zeros(1 << cm.HIST_BITS, dtype=np.int64)
+        counts = np.zeros(1 << hist_bits, dtype=np.uint32)
+        seen: set[int] = set()
         for batch in batches:
-            sizes, sigs, heap, maps = [], [], [], []
+            sizes, sigs, more, heap, maps = [], [], [], [], []
             for _, _, s in _sets([batch], n):
                 sizes.append(len(s))
                 sigs.append(_signature(s))
-                heap.append(s)
+                more.append(_signature(s, 1))
                 maps.append(bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None)
-            if heap:
-                counts += np.bincount(cm.bucket(np.concatenate(heap)), minlength=len(counts))
+                if sigs[-1] not in seen:
+                    seen.add(sigs[-1])
+                    heap.append(s)
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.int64()), pa.array(more, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            if heap:
+                grams = np.sort(np.concatenate(heap))
+                np.add.at(counts, cm.bucket(grams, len(counts)), np.uint32(1))
+                start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+                times = np.diff(np.append(start, len(grams)))
+                often = np.flatnonzero(times >= max(2, rows // SEEN_OFTEN))
+                if len(often):
+                    k = len(often)
+                    none = pa.nulls(k, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(grams[start[often]].view(np.int64)), none, pa.array(times[often], pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
         slices, blobs = cm.hist_rows(counts)
-        rows = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        none = pa.nulls(len(slices), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(slices), pa.binary()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return run
 
 
+def _heavy(scan: DataFrame, salt_at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted grams, salts) of the grams that very many sets hold, each gram counted by itself.
+
+    A gram counted here is in at least one of HEAVY documents, so their number is bounded by HEAVY times a document's
+    mean number of grams.  Counts may fall short, never exceed: they deal out rows and decide no link.
+    """
+    most = max(salt_at, scan.filter("slice is null").count() // HEAVY)
+    rows = scan.filter("slice = -1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") > most).collect()
+    grams = np.array([r.sig for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.array([(r.n - 1) // most + 1 for r in rows], dtype=np.int64)[order]
+
+
 def prefix_length(n: int, pct: int) -> int:
     return n - -(-pct * n // 100) + 1
 
 
-def _postings(n: int, pct: int, hist: np.ndarray, salt_at: int):
+def _postings(n: int, pct: int, hist: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]):
     """A row per prefix gram of each set first seen by the task; copies beyond the first add nothing."""
     names, types = ["key", "salt", "n", "sig"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    known, split = heavy
 
     def run(batches):
         seen: set[int] = set()
@@ -103,11 +133,13 @@ def _postings(n: int, pct: int, hist: np.ndarray, salt_at: int):
                 if not sig or sig in seen:
                     continue
                 seen.add(sig)
-                count = hist[cm.bucket(s)]
-                take = np.argsort(count, kind="stable")[: prefix_length(len(s), pct)]
-                split = (count[take].astype(np.int64) - 1) // salt_at + 1
+                take = np.argsort(hist[cm.bucket(s, len(hist))], kind="stable")[: prefix_length(len(s), pct)]
                 keys.append(s[take].view(np.int64))
-                salts.append(np.where(split > 1, (sig & 0x7FFFFFFF) % split, -1))
+                salt = np.full(len(take), -1)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, s[take]), len(known) - 1)
+                    salt = np.where(known[place] == s[take], (sig & 0x7FFFFFFF) % split[place], -1)
+                salts.append(salt)
                 sizes.append(np.full(len(take), len(s)))
                 sigs.append(np.full(len(take), sig))
             if keys:
@@ -170,7 +202,8 @@ def _neighbours(pct: int, slack: int, near: int):
             out = [np.concatenate(x) for x in zip(*kinds, strict=True)]
             if len(out[0]):
                 yield cm.record_batch(names, out, types)
-            carried = [x[min(int(lo[-1]), len(rows) - 1) :] for x in cols]
+            # A window of more rows than near is tied as a whole, which the last of them show as well as all.
+            carried = [x[max(min(int(lo[-1]), len(rows) - 1), len(rows) - near - 1) :] for x in cols]
 
     return run
 
@@ -284,15 +317,15 @@ def _meet(docs: DataFrame, places: DataFrame, n: int, pct: int) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(n, pct), "a long, b long")
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE, salt_at: int = SALT_AT, near: int = NEAR) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE, salt_at: int = SALT_AT, near: int = NEAR, hist_bits: int = cm.HIST_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are 100 * intersection >= pct * union."""
     docs = cm.with_columns(docs, doc_id="long", text="string")
-    scan = cm.materialise(docs.mapInArrow(_profile(n), _PROFILE))
-    hist = cm.merge_hist(scan.filter("slice is not null").select("slice", "counts"))
-    meta = scan.filter("slice is null").select("doc_id", "sig", "n", "bits")
-    heads = cm.materialise(meta.filter("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("head"), F.min("n").alias("n"), F.any_value("bits").alias("bits")).filter("head is not null"))
+    scan = cm.materialise(docs.mapInArrow(_profile(n, hist_bits), _PROFILE))
+    hist = cm.merge_hist(scan.filter("slice >= 0").select("slice", "counts"), hist_bits)
+    meta = scan.filter("slice is null").select("doc_id", "sig", "sig2", "n", "bits")
+    heads = cm.materialise(meta.filter("sig <> 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("head"), F.min("n").alias("n"), F.any_value("bits").alias("bits")).filter("head is not null"))
 
-    posts = docs.mapInArrow(_postings(n, pct, hist, salt_at), "key long, salt int, n int, sig long")
+    posts = docs.mapInArrow(_postings(n, pct, hist, _heavy(scan, salt_at)), "key long, salt int, n int, sig long")
     first = cm.materialise(posts.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sig").mapInArrow(_neighbours(pct, 1, near), _KINDS))
     pairs = cm.materialise(_bounded(first.filter(F.col("kind") == PAIR).select("a", "b").distinct(), heads, pct))
     leads = first.filter(F.col("kind") == LEAD).select(F.col("a").alias("key"), F.lit(-1).alias("salt"), "n", F.col("b").alias("sig"))
@@ -300,8 +333,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, pct: int = 80, tile: int = TILE,
     ties = first.unionByName(second).filter(F.col("kind") == TIE).select("a", "b").distinct()
     links = _inside_blocks(docs, heads, cm.materialise(pairs.unionByName(ties)), n, pct, tile)
     labels = cm.components(links)
-    named_sets = cm.materialise(heads.join(labels, heads["head"] == labels.node, "left").select("sig", F.coalesce("label", "head").alias("component")))
-    return meta.join(named_sets, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named_sets = cm.materialise(heads.join(labels, heads["head"] == labels.node, "left").select("sig", "sig2", F.coalesce("label", "head").alias("component")))
+    return meta.join(named_sets, ["sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def _inside_blocks(docs: DataFrame, heads: DataFrame, edges: DataFrame, n: int, pct: int, tile: int) -> DataFrame:
