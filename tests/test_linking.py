@@ -46,14 +46,31 @@ def test_confidence(spark, fixtures):
     assert got == {str(i): (c, r) for i, (_, _, c, r) in enumerate(CASES) if c is not None}
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "bucket"])
-def test_window_is_closed(spark, fixtures, strategy):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_window_is_closed(spark, fixtures, broadcast_rows):
     at = [EPOCH - 172801, EPOCH - 172800, EPOCH + 172800, EPOCH + 172801]
     rows = spark.createDataFrame([(str(t), "barcelona real madrid", "other", t) for t in at], "id string, body string, subreddit string, created_utc long")
-    got = linking.link(rows, fixtures, CONFIG, LinkerOptions(strategy=strategy)).select("comment_id").collect()
+    got = linking.link(rows, fixtures, CONFIG, LinkerOptions(broadcast_rows=broadcast_rows)).select("comment_id").collect()
     assert sorted(r[0] for r in got) == [str(at[1]), str(at[2])]
 
 
+@pytest.mark.parametrize("strategy", ["broadcast", "bucket"])
+def test_band_join(spark, strategy):
+    points = spark.createDataFrame([(t,) for t in (-11, -10, 0, 7, 8, 100)], "at long")
+    got = linking.band_join(points, spark.createDataFrame([(0,), (92,)], "centre long"), "at", "centre", 10, 7, strategy).collect()
+    assert sorted(map(tuple, got)) == [(-10, 0), (0, 0), (7, 0)]
+
+
+def test_a_pair_found_by_several_keys_is_one_link(spark):
+    teams = [("Barcelona", "Real Madrid"), ("Barcelona", "Barcelona"), (None, "Barcelona"), ("Real Madrid", "Barcelona")]
+    fixtures = spark.createDataFrame([(i, h, a, EPOCH) for i, (h, a) in enumerate(teams)], "match_id long, home_team string, away_team string, match_epoch long")
+    rows = spark.createDataFrame([("x", "el clasico: barca vs real madrid", "barca", EPOCH)], "id string, body string, subreddit string, created_utc long")
+    got = linking.link(rows, fixtures, CONFIG)
+    assert sorted((r.match_id, r.link_confidence) for r in got.collect()) == [(0, 1.0), (1, 0.85), (2, 0.6), (3, 1.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_shared_alias(spark):
     df = spark.createDataFrame([("rojiblancos", "x")], "body string, subreddit string")
     assert sorted(df.select(linking.detect_teams(F.col("body"), F.col("subreddit"), CONFIG)).first()[0]) == ["Athletic Bilbao", "Atletico Madrid"]

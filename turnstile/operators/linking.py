@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +67,8 @@ class LinkerOptions:
     rivalry_bonus: float = 0.25
     home_bonus: float = 0.25
     generic_bonus: float = 0.10
-    #: "auto": fixtures go to every task while they are few (counted), else both sides meet by time bucket.
-    strategy: str = "auto"
-    broadcast_rows: int = field(default=100_000)
+    #: Fixtures go to every task while a count finds no more than these; else both sides are dealt by key.
+    broadcast_rows: int = 100_000
 
 
 def any_mention(body: Column, words: tuple[str, ...]) -> Column:
@@ -106,7 +105,7 @@ def detect_rivalries(body: Column, config: LinkingConfig) -> Column:
 
 
 def band_join(points: DataFrame, anchors: DataFrame, at: str, centre: str, before: float, after: float, strategy: str = "auto", broadcast_rows: int = 100_000) -> DataFrame:
-    """Pairs with centre - before <= at <= centre + after (inclusive).
+    """Pairs with centre - before <= at <= centre + after (inclusive), for sides that share nothing but time.
 
     Few anchors (counted first) are sent to every task.  Beyond that, time is cut into buckets as wide as the band; an
     anchor goes to the two or three buckets its band touches and the sides meet by an equi-join, which shuffles each
@@ -117,10 +116,18 @@ def band_join(points: DataFrame, anchors: DataFrame, at: str, centre: str, befor
         strategy = "broadcast" if anchors.limit(broadcast_rows + 1).count() <= broadcast_rows else "bucket"
     if strategy == "broadcast":
         return points.join(F.broadcast(anchors), inside)
-    width = max(1, int(before + after))
-    first, last = (F.floor((F.col(centre) + s) / width) for s in (-before, after))
-    spread = anchors.withColumn("__bucket", F.explode(F.sequence(first, last)))
-    return points.withColumn("__bucket", F.floor(F.col(at) / width)).join(spread, "__bucket").filter(inside).drop("__bucket")
+    return in_bucket(points, at, before, after).join(in_buckets(anchors, centre, before, after), "__bucket").filter(inside).drop("__bucket")
+
+
+def in_bucket(points: DataFrame, at: str, before: float, after: float) -> DataFrame:
+    """points with __bucket, the one that their time falls in; a bucket is as wide as the band."""
+    return points.withColumn("__bucket", F.floor(F.col(at) / max(1, int(before + after))))
+
+
+def in_buckets(anchors: DataFrame, centre: str, before: float, after: float) -> DataFrame:
+    """anchors once for each of the two or three buckets that their band touches."""
+    first, last = (F.floor((F.col(centre) + s) / max(1, int(before + after))) for s in (-before, after))
+    return anchors.withColumn("__bucket", F.explode(F.sequence(first, last)))
 
 
 def confidence(options: LinkerOptions, home: Column, away: Column, rivalry: Column, home_community: Column, generic: Column) -> tuple[Column, Column]:
@@ -141,23 +148,33 @@ def link(comments: DataFrame, fixtures: DataFrame, config: LinkingConfig, option
     """One row a comment and fixture that evidence ties together.
 
     comments: id, body, subreddit, created_utc; fixtures: match_id, home_team, away_team, match_epoch.  Evidence is
-    computed once a comment, before the join; comments without any never reach it.
+    computed once a comment.  Each mentioned team and each rivalry is a key; a fixture has its two teams and their pair
+    for keys, and the sides meet by (key, time bucket), so that a comment sees only fixtures it has evidence for.  A
+    pair found by several keys counts under the first of home team, away team, rivalry.  A null team name is never
+    mentioned.  Few fixtures (counted first) are sent to every task; beyond that both sides are dealt by key, where
+    adaptive execution splits those of popular teams.
     """
     require_columns(comments, ["id", "body", "subreddit", "created_utc"], "comments")
     require_columns(fixtures, ["match_id", "home_team", "away_team", "match_epoch"], "fixtures")
     seen = comments.select("id", "subreddit", "created_utc", detect_teams(F.col("body"), F.col("subreddit"), config).alias("teams_hit"), detect_rivalries(F.col("body"), config).alias("rivalries_hit"))
-    seen = seen.filter((F.size("teams_hit") > 0) | (F.size("rivalries_hit") > 0))
+    team_key, pair_of = (lambda x: F.concat(F.lit("t"), x)), (lambda x: F.concat(F.lit("p"), x))
+    # The outer form keeps the optimizer from a filter that would evaluate all the evidence a second time.
+    seen = seen.withColumn("key", F.explode_outer(F.concat(F.transform("teams_hit", team_key), F.transform("rivalries_hit", pair_of)))).filter("key IS NOT NULL")
     homes = {t.name: list(t.communities) for t in config.teams if t.communities}
     of_team = F.create_map(*(x for k, v in homes.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if homes else F.lit(None).cast("map<string,array<string>>")
     side = fixtures.select("match_id", "home_team", "away_team", "match_epoch", pair_key(F.col("home_team"), F.col("away_team")).alias("pair"))
     side = side.withColumn("communities", F.concat(*(F.coalesce(F.try_element_at(of_team, F.col(c)), F.array().cast("array<string>")) for c in ("home_team", "away_team"))))
-    hours = 3600
-    near = band_join(seen, side, "created_utc", "match_epoch", options.before_hours * hours, options.after_hours * hours, options.strategy, options.broadcast_rows)
-    home, away = (F.array_contains("teams_hit", F.col(c)) for c in ("home_team", "away_team"))
+    side = side.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(team_key(F.col("home_team")), team_key(F.col("away_team")), pair_of(F.col("pair")))))))
+    before, after = options.before_hours * 3600, options.after_hours * 3600
+    side = in_buckets(side, "match_epoch", before, after)
+    few = fixtures.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
+    near = in_bucket(seen, "created_utc", before, after).join(F.broadcast(side) if few else side.hint("merge"), ["key", "__bucket"])
+    near = near.filter(F.col("created_utc").between(F.col("match_epoch") - before, F.col("match_epoch") + after))
+    home, away = (F.coalesce(F.array_contains("teams_hit", F.col(c)), F.lit(False)) for c in ("home_team", "away_team"))
     rivalry = F.array_contains("rivalries_hit", F.col("pair"))
+    near = near.filter(F.col("key") == F.when(home, team_key(F.col("home_team"))).when(away, team_key(F.col("away_team"))).otherwise(pair_of(F.col("pair"))))
     community = F.lower("subreddit")
     generic = community.isin(*config.generic) if config.generic else F.lit(False)
-    near = near.filter(home | away | rivalry)
     score, reasons = confidence(options, home, away, rivalry, F.array_contains("communities", community), generic)
     scored = near.select("match_id", F.col("id").alias("comment_id"), "subreddit", "created_utc", "match_epoch", ((F.col("created_utc") - F.col("match_epoch")) / 60.0).alias("minutes_from_kickoff"), score.alias("raw"), reasons.alias("link_reasons"))
     return scored.filter(F.col("raw") >= options.min_confidence).withColumn("link_confidence", F.round("raw", 3)).drop("raw")

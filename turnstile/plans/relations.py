@@ -33,12 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A bare scan, dealt out evenly if it comes in fewer pieces than there are cores: texts are dear to search."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def epoch(ts) -> F.Column:
     return F.unix_timestamp(F.col(ts).cast("timestamp"))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     k = F.get_json_object("props", "$.k").cast("int")
     team = lambda x: F.concat(F.lit("nation_"), (x % N_TEAMS).cast("string"))
     body = F.concat(F.when(F.col("event_id") % 2 == 0, F.concat(team(F.col("user_id")), F.lit(" plays "))).otherwise(F.lit("they play ")), team(k), F.when(k % 10 == 0, f" {KEYWORD}").otherwise(""))
