@@ -5,7 +5,7 @@ and read again.  Rows keep the columns of documents until the last stage, which
 first word and the number of words of each piece.
 
 Defined results, for all stages: a null text is an empty one.  Rows without doc_id are kept by the stages that compare
-documents and have no place in a bin; rows that repeat a doc_id are one document where texts are compared.  Equal texts
+documents and packed under a null; rows that repeat a doc_id are one document where texts are compared.  Equal texts
 keep the smallest doc_id.  Very long texts are taken whole.  Columns beyond those of documents pass through all stages
 but the last, whatever their names; an empty table gives an empty table.
 
