@@ -132,13 +132,32 @@ def test_toxicity_learns(spark, docs, labels):
     assert r[0] > 0.7 > 0.3 > r[1]
 
 
-@pytest.mark.xfail(reason="not met yet: 80 of 97 held-out toxic documents found at sf0.1, the misses being rarer non-English stems")
 def test_toxicity_holds_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     r = op5.op5_toxicity(spark, d).join(labels, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     rate = {x.toxic: x.p for x in r}
-    assert rate[1] > 0.9 and rate[0] < 0.05
+    assert rate[1] >= 0.9 and rate[0] < 0.03
+
+
+def test_risk_against_a_plain_loop():
+    """One step from zero weights: the loss's gradient, pair by pair, gives the same signs and size of step."""
+    import math
+
+    positive, unlabelled, prior = [[0, 1], [0]], [[1, 2], [2], [0, 2], []], 0.3
+    b = math.log(prior / (1 - prior))
+    s = 1 / (1 + math.exp(-b))
+    negative = sum(-math.log(1 - s) for _ in unlabelled) / 4 - prior * sum(-math.log(1 - s) for _ in positive) / 2
+    assert negative > 0
+    want = []
+    for k in range(3):
+        up = prior * sum((s - 1) for d in positive if k in d) / 2
+        down = sum(s for d in unlabelled if k in d) / 4 - prior * sum(s for d in positive if k in d) / 2
+        want.append(-math.copysign(0.1, up + down))
+    import numpy as np
+
+    w, got_b = op5.fit([np.array(d) for d in positive], [np.array(d, dtype=int) for d in unlabelled], np.arange(3), prior, steps=1, l1=0.0)
+    assert np.allclose(w, want, atol=1e-4) and got_b != b
 
 
 def test_nnpu_beats_its_noise():
@@ -154,6 +173,9 @@ def test_nnpu_beats_its_noise():
 def test_toxicity_on_odd_rows(spark, odd, none, labels):
     out = op5.score(odd, op5.train(odd, labels), "__s")
     assert out.count() == odd.count() and out.filter("__s BETWEEN 0 AND 1").count() == odd.count()
+    # The clashing column score of the input is replaced.
+    own = op5.score(odd, op5.train(odd, labels))
+    assert own.columns == odd.columns and own.filter("score BETWEEN 0 AND 1").count() == odd.count()
     assert op5.score(none, op5.train(none, labels), "__s").count() == 0
     assert op5.train(odd, labels.limit(0)) is None
 
@@ -207,7 +229,23 @@ def test_pipeline(spark, docs):
     assert len(op9.ngram_jaccard(now).filter("doc_id <> component_id").take(1)) == 0
     bins = corpus_pipeline.packing(spark, now, d)
     assert bins.select(F.explode("doc_ids")).distinct().count() == before
+    # A run deletes its own tables only: frames that it did not make stay readable.
+    held = op9.ngram_jaccard(docs)
     assert corpus_pipeline.run(spark, d).count() == bins.count()
+    assert held.count() == docs.count()
+
+
+def test_pipeline_on_odd_rows(spark, odd, none):
+    d = "/root/testdata/sf0.001"
+    rows = none
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = cm.materialise(stage(spark, rows, d))
+        assert rows.count() == 0 and rows.columns == none.columns, name
+    assert corpus_pipeline.packing(spark, rows, d).count() == 0
+    kept = cm.materialise(corpus_pipeline.near_duplicates(spark, cm.materialise(corpus_pipeline.line_dedup(spark, odd, d)), d))
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 4, 5, 6, 8}
+    packed = corpus_pipeline.packing(spark, kept, d)
+    assert {i for r in packed.collect() for i in r.doc_ids} == {r.doc_id for r in kept.collect() if (r.text or "").split()}
 
 
 def test_components_of_a_chain(spark):

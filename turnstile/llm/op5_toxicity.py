@@ -4,7 +4,8 @@ Confirmed toxic examples are the positives; all else is unlabelled text, whose o
 prior p (the confirmed share among labelled training rows) the risk is
 p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P[l(-f)]) (Kiryo et al., 2017): the bracket estimates the risk on negatives
 and is held at zero or above, so where it falls below it adds no gradient.  The loss is logistic, so that sigmoid(f)
-estimates the probability; an L1 proximal step leaves few words with a weight.
+estimates the probability; an L1 proximal step keeps weights small.  Where the bracket swings about zero the last step
+is one of its turns, so the mean of the last half of the steps is taken.
 
 A text's features are its distinct words and their first PREFIXES bytes, A-Z lowered, hashed to 2**FEATURE_BITS.  Training
 reads a bounded sample, MAX_POSITIVE and MAX_UNLABELLED documents by smallest hash of doc_id; scoring reads every text.
@@ -28,7 +29,7 @@ PREFIXES = (4, 5, 6)
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
 #: A feature is learnt if this many positive documents of the sample have it.
-MIN_POSITIVE_DF = 3
+MIN_POSITIVE_DF = 2
 
 
 def _features(chunk: tv.Chunk, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +61,8 @@ def _collect_features(docs: DataFrame, ids: DataFrame, keep: np.ndarray) -> list
                 blobs += [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["features"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "features binary")
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = one.select("text").mapInArrow(run, "features binary")
     return [np.frombuffer(bytes(r[0]), dtype=np.int32) for r in rows.toLocalIterator()]
 
 
@@ -77,7 +79,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: np
 
     sides = [matrix(positive), matrix(unlabelled)]
     w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m, v, mean = (np.zeros(len(w) + 1) for _ in range(3))
 
     def push(side, dz):
         cols, rows, _ = side
@@ -96,7 +98,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: np
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - l1 * scale[:-1], 0)
         b -= step[-1]
-    return w, b
+        if t > steps // 2:
+            mean += (np.append(w, b) - mean) / (t - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -135,7 +139,7 @@ def _scores(batch: pa.RecordBatch, weights: np.ndarray, keep: np.ndarray, bias:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, out: str = "score") -> DataFrame:
-    """docs with a score column named out; the input's own columns stay as they are."""
+    """docs with a score column named out, in place of the input's own of that name; other columns stay as they are."""
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     dense, bias = model
@@ -147,8 +151,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, out: str = "s
         weights[used] = values
         keep = weights != 0
         for batch in batches:
-            yield batch.append_column(out, pa.array(_scores(batch, weights, keep, bias), pa.float64()))
+            found = pa.array(_scores(batch, weights, keep, bias), pa.float64())
+            yield batch.set_column(at, out, found) if at < batch.num_columns else batch.append_column(out, found)
 
+    at = next((k for k, c in enumerate(docs.columns) if c.lower() == out.lower()), len(docs.columns))
     return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
