@@ -120,12 +120,56 @@ def test_bpe_equals_the_library(library):
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_query(docs, odd, none, library):
-    for df in (docs, odd):
-        for r in df.select("doc_id", "text").join(op6.encode_decode(df, public_tokenizers.path("word_bpe_49k.json")).dropDuplicates(), "doc_id").collect():
-            assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
-    assert op6.digests(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
-    assert op6.digests(odd, public_tokenizers.path("word_bpe_49k.json")).count() == odd.count()
+def test_arcs_are_those_of_plain_merging():
+    """Every pair of tokens of a small vocabulary: the arc is open just if merging their text gives them back."""
+    rng = random.Random(4)
+    for _ in range(30):
+        tokens, merges = list("abc"), []
+        while len(merges) < 14:
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            if u + v not in tokens:
+                merges.append((u, v))
+                tokens.append(u + v)
+        ranks = {m: r for r, m in enumerate(merges)}
+
+        def merged(text):
+            parts = list(text)
+            while True:
+                best = min((ranks.get(p, 99), i) for i, p in enumerate([*zip(parts, parts[1:], strict=False), ("", "")]))
+                if best[0] == 99:
+                    return parts
+                u, v = merges[best[0]]
+                out, i = [], 0
+                while i < len(parts):
+                    if parts[i : i + 2] == [u, v]:
+                        out.append(u + v)
+                        i += 2
+                    else:
+                        out.append(parts[i])
+                        i += 1
+                parts = out
+
+        whole = [t for t in tokens if merged(t) == [t]]
+        a = op6.TokenAutomaton({t: i for i, t in enumerate(tokens)}, merges)
+        for u in whole:
+            for v in whole:
+                got = a.step(a.state[a.vocab[u]], a.vocab[v])
+                assert (got >= 0) == (merged(u + v) == [u, v]), (merges, u, v)
+                assert got in (-1, a.state[a.vocab[v]])
+
+
+def test_bpe_query(spark, docs, odd, none, library):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+
+    def plain(doc_id, text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        return doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+
+    key = lambda r: (r[0] is None, r)
+    for df, got in ((docs, op6.op6_bpe_automaton(spark, SF)), (odd, op6.digests(odd, path))):
+        assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=key) == sorted((plain(r.doc_id, r.text) for r in df.collect()), key=key)
+    assert op6.digests(none, path).count() == 0
 
 
 def _levenshtein(a, b):
