@@ -11,7 +11,7 @@ similar to it, whether or not that earlier line itself stays.
 Equal sets are found by a 128-bit name.  Under a token they collapse to their first line, in the task that scans them
 and again where they meet, so copies make no pairs.  A posting is five longs, sorted by one of them.
 
-Of a line's candidates under one token the WITNESSES nearest by bitmap are kept, a number that grows sixteenfold in
+Of a line's candidates under one token the WITNESSES nearest by bitmap are kept, a number that grows MORE-fold in
 each further round for the few lines that none of them settled and that had more, until none is left: no cap.  Tokens
 of more than SPLIT_AT different sets are set aside where they are met (found exactly, not estimated) and dealt out to
 cells of bounded size.  The lines to verify are found again by a scan with a membership mask, so whole texts are never
@@ -40,6 +40,7 @@ from turnstile.llm import textvec as tv
 PCT = 80
 MIN_TOKENS = 1
 WITNESSES = 4
+MORE = 256
 #: Different sets under one token that one task compares.
 SPLIT_AT = 50_000
 #: Postings looked at together; bounds a task's memory along with SPLIT_AT.
@@ -51,12 +52,19 @@ LARGE = 0xFFFF
 
 
 class _Lines:
-    """Distinct words of each line of a chunk, the rarest first where a histogram is given."""
+    """Distinct words of each line of a chunk, the rarest first where a histogram is given.
 
-    def __init__(self, chunk: tv.Chunk, hist: np.ndarray | None, min_tokens: int):
+    With wanted, only of the lines it marks, given the words' lines and hashes and each line's row and number.
+    """
+
+    def __init__(self, chunk: tv.Chunk, hist: np.ndarray | None, min_tokens: int, wanted=None):
         spans, hashes = tv.words(chunk, tv.SPACED, lower=True)
         line = tv.lines(chunk)
         owner = np.searchsorted(line.start, spans.start, side="right") - 1
+        if wanted is not None:
+            marks = wanted(owner, hashes, line.row, np.arange(len(line.row)) - line.first[line.row])
+            some = marks[owner]
+            owner, hashes = owner[some], hashes[some]
         uniq, inverse = np.unique(hashes, return_inverse=True)
         place = cm.rank_by_rarity(hist, uniq) if hist is not None else np.arange(len(uniq))
         by_place = np.empty(len(uniq), dtype=np.uint64)
@@ -127,12 +135,18 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, mask: bytes | None =
     def run(batches):
         seen: dict[int, tuple[int, int]] = {}
         bits = None if mask is None else cm.open_mask(mask)
+
+        def holding(owner, hashes, row, number):
+            marks = np.zeros(len(row), dtype=bool)
+            marks[owner[cm.in_mask(bits, [pa.array(_key(hashes))])]] = True
+            return marks
+
         for batch in batches:
             ids = pc.fill_null(batch["doc_id"], 0).to_numpy(zero_copy_only=False)
             known = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for chunk in tv.chunks(batch["text"]):
                 # Only sets that a different one can be similar to: the nearest has one token more.
-                x = _Lines(chunk, hist, max(min_tokens, -(-pct // (100 - pct)) if pct < 100 else 1))
+                x = _Lines(chunk, hist, max(min_tokens, -(-pct // (100 - pct)) if pct < 100 else 1), None if bits is None else holding)
                 rows = x.row + chunk.lo
                 name = x.names()
                 take = []
@@ -363,12 +377,15 @@ def _line_sets(min_tokens: int, mask: bytes):
         for batch in batches:
             ids = batch["doc_id"]
             for chunk in tv.chunks(batch["text"]):
-                x = _Lines(chunk, None, min_tokens)
-                own = ids.take(pa.array(x.row + chunk.lo))
-                take = np.flatnonzero(cm.in_mask(bits, [own, pa.array(x.number)]) & own.is_valid().to_numpy(zero_copy_only=False))
-                if len(take):
-                    sets = [np.sort(x.tokens_of(i)).tobytes() for i in take]
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(take)), pa.array(x.number[take], pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "tokens"])
+
+                def asked(owner, hashes, row, number, of=ids.slice(chunk.lo, chunk.rows)):
+                    own = of.take(pa.array(row))
+                    return cm.in_mask(bits, [own, pa.array(number)]) & own.is_valid().to_numpy(zero_copy_only=False)
+
+                x = _Lines(chunk, None, min_tokens, asked)
+                if len(x.row):
+                    sets = [np.sort(x.tokens_of(i)).tobytes() for i in range(len(x.row))]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row + chunk.lo)), pa.array(x.number, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "tokens"])
 
     return run
 
@@ -399,7 +416,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
 def _settled(docs: DataFrame, found: DataFrame, pct: int, min_tokens: int) -> DataFrame:
     """Lines of found that one of their candidates is similar to: the nearest is tried first, then all others."""
     ends = found.select("doc_id", "line").unionByName(found.select(F.explode("near").alias("by")).select(F.col("by.by_doc").alias("doc_id"), F.col("by.by_line").alias("line")).distinct())
-    sets = cm.materialise(docs.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary"))
+    some = cm.masked(docs, cm.member_mask(ends.select("doc_id").distinct()), "doc_id")
+    sets = cm.materialise(some.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary"))
     pair = ["doc_id", "line", "by.by_doc", "by.by_line"]
     first = _verified(sets, found.select("doc_id", "line", F.element_at("near", 1).alias("by")).select(*pair), pct)
     rest = found.filter(F.size("near") > 1).join(first, ["doc_id", "line"], "left_anti")
@@ -426,7 +444,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
         cm.discard(asked)
         if not unsettled.limit(1).count():
             break
-        witnesses *= 16
+        witnesses *= MORE
         tokens = cm.member_mask(unsettled.select(F.explode("more").alias("key")).distinct())
         found = _candidates(docs, hist, pct, min_tokens, witnesses, split_at, tokens, cm.member_mask(unsettled.select(F.col("doc_id"), F.col("line").cast("long").alias("line"))))
         asked = cm.materialise(found.join(unsettled.select("doc_id", "line"), ["doc_id", "line"], "left_semi"))
