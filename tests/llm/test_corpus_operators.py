@@ -119,6 +119,12 @@ def test_candidates_of_a_large_group_stay_small():
     assert out.num_rows == sum(min(4, i) for i in range(n))
 
 
+def test_lines_of_a_repeated_document_are_no_copies_of_themselves(spark):
+    rows = [(1, "a b c d e f\ng h"), (1, "a b c d e f\ng h"), (2, "x y"), (3, "g h\nnew words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in op4.repeated_lines(df).collect()} == {(3, 0)}
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     out = op4.remove_lines(odd)
     assert out.columns == odd.columns and op4.remove_lines(none).count() == 0

@@ -8,7 +8,7 @@ class modulo two, so two bitmaps differ in at most as many bits as the sets diff
 Lines are ordered by (doc_id, line number).  A line goes if an earlier line of the corpus has an equal set, or is
 similar to it, whether or not that earlier line itself stays.
 
-Equal sets are found by a 128-bit name.  Under a token they collapse to their first line, in the task that scans them
+Equal sets are found by a 128-bit name, first within each task, then across them.  Under a token they collapse to their first line, in the task that scans them
 and again where they meet, so copies make no pairs.  A posting is five longs, sorted by one of them.
 
 Of a line's candidates under one token the WITNESSES nearest by bitmap are kept, a number that grows MORE-fold in
@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.llm import common as cm
@@ -44,9 +44,9 @@ MORE = 256
 #: Different sets under one token that one task compares.
 SPLIT_AT = 50_000
 #: Postings looked at together; bounds a task's memory along with SPLIT_AT.
-GATHER = 200_000
+GATHER = 100_000
 #: Pairs whose filters are computed at a time.
-PAIR_BLOCK = 1 << 20
+PAIR_BLOCK = 1 << 18
 #: Sizes and places from here on are not told apart; the filters let them pass.
 LARGE = 0xFFFF
 
@@ -99,27 +99,47 @@ class _Lines:
         return low.view(np.int64), high.view(np.int64)
 
 
+#: A slice of the task's histogram; or a line: with its set's name the first of its set in the task, without a later one.
+_PROFILE = "name long, name2 long, doc_id long, line int, slice int, counts binary"
+
+
 def _profile(min_tokens: int, hist_bits: int):
-    names = ["name", "name2", "doc_id", "line", "slice", "counts"]
+    names = [c.split()[0] for c in _PROFILE.split(", ")]
 
     def run(batches):
         counts = np.zeros(1 << hist_bits, dtype=np.uint32)
+        lines: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            ids = batch["doc_id"]
+            ids = pc.fill_null(batch["doc_id"], 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for chunk in tv.chunks(batch["text"]):
                 x = _Lines(chunk, None, min_tokens)
                 np.add.at(counts, cm.bucket(x.tokens, len(counts)), np.uint32(1))
-                n = len(x.row)
-                yield pa.RecordBatch.from_arrays([pa.array(x.names()), pa.array(x.names(1)), ids.take(pa.array(x.row + chunk.lo)), pa.array(x.number, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                rows = x.row + chunk.lo
+                some = known[rows]
+                lines.append(tuple(c[some] for c in (x.names(), x.names(1), ids[rows], x.number.astype(np.int32))))
         slices, blobs = cm.hist_rows(counts)
         none = pa.nulls(len(slices), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slices), pa.int32()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        if not lines:
+            return
+        name, name2, doc, line = (np.concatenate(c) for c in zip(*lines, strict=True))
+        order = np.lexsort((line, doc, name2, name))
+        name, name2, doc, line = name[order], name2[order], doc[order], line[order]
+        if not len(name):
+            return
+        new = np.append(True, (name[1:] != name[:-1]) | (name2[1:] != name2[:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+        # Rows that repeat a doc_id have lines at the same place; none of them is later.
+        later = (doc != doc[first]) | (line != line[first])
+        for lo in range(0, len(name), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            n = len(name[part])
+            yield pa.RecordBatch.from_arrays([pa.array(name[part], mask=later[part]), pa.array(name2[part], mask=later[part]), pa.array(doc[part]), pa.array(line[part]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
     return run
 
 
-_PROFILE = "name long, name2 long, doc_id long, line int, slice int, counts binary"
-
 #: head: 32 bits of the token, size and place in the set, 16 bits each; tail: line number and 32 parities.
 _POST = ["head", "doc_id", "tail", "name", "low"]
 _POST_SQL = ", ".join(f"{c} long" for c in _POST)
@@ -431,9 +451,11 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
     docs = cm.with_columns(docs, doc_id="long", text="string")
     scan = cm.materialise(docs.mapInArrow(_profile(min_tokens, hist_bits), _PROFILE))
     hist = cm.merge_hist(scan.filter("slice is not null").select("slice", "counts"), hist_bits)
-    lines = scan.filter("slice is null and doc_id is not null").select("name", "name2", "doc_id", "line")
-    firsts = lines.groupBy("name", "name2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "name2", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
-    copies = cm.materialise(lines.join(firsts, ["name", "name2"]).filter("doc_id > first_doc or (doc_id = first_doc and line > first_line)").select("doc_id", "line"))
+    # A set has a row a task here, however often its lines are repeated.
+    lines = scan.filter("slice is null")
+    in_set = Window.partitionBy("name", "name2").orderBy("doc_id", "line")
+    across = lines.filter("name is not null").withColumn("place", F.rank().over(in_set)).filter("place > 1")
+    copies = cm.materialise(lines.filter("name is null").select("doc_id", "line").unionByName(across.select("doc_id", "line")))
     cm.discard(scan)
 
     asked = _candidates(docs, hist, pct, min_tokens, witnesses, split_at)
