@@ -31,8 +31,17 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select(F.when(F.col("n") < 3, 0.0).otherwise(F.coalesce(F.try_divide("c", F.col("sa") * F.col("sb")), F.lit(0.0))).alias("spearman"))
 
 
-def rivalry_metrics(scores: DataFrame, fixtures: DataFrame, score: str = "engagement_score_combined") -> DataFrame:
+def overridden(scores: DataFrame, override: DataFrame | None, score: str) -> DataFrame:
+    """scores with the score that override (match_id, score) has for a fixture; a missing or null one falls back."""
+    if override is None:
+        return scores
+    other = override.filter("score IS NOT NULL").groupBy("match_id").agg(F.max("score").alias("__override"))
+    return scores.join(other, "match_id", "left").withColumn(score, F.coalesce("__override", score)).drop("__override")
+
+
+def rivalry_metrics(scores: DataFrame, fixtures: DataFrame, score: str = "engagement_score_combined", override: DataFrame | None = None) -> DataFrame:
     """One row: auc, margin, margin_norm, composite."""
+    scores = overridden(scores, override, score)
     flags = fixtures.select("match_id", F.col("is_rivalry").alias("__y"))
     rows = scores.join(flags, "match_id", "left").select(F.coalesce(F.col(score), F.lit(0.0)).alias("s"), F.coalesce("__y", F.lit(False)).alias("y"))
     margin = rows.agg(F.coalesce(F.avg(F.when(F.col("y"), F.col("s"))) - F.avg(F.when(~F.col("y"), F.col("s"))), F.lit(0.0)).alias("margin"))

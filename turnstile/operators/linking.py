@@ -180,6 +180,16 @@ def link(comments: DataFrame, fixtures: DataFrame, config: LinkingConfig, option
     return scored.filter(F.col("raw") >= options.min_confidence).withColumn("link_confidence", F.round("raw", 3)).drop("raw")
 
 
+def coverage(links: DataFrame, comments: DataFrame, least: float = 0.95) -> float:
+    """The share of links whose comment is in comments (1 without links); a share below least is logged."""
+    known = comments.select(F.col("id").alias("comment_id")).distinct().withColumn("known", F.lit(1))
+    n, found = links.select("comment_id").join(known, "comment_id", "left").agg(F.count("*"), F.count("known")).first()
+    share = found / n if n else 1.0
+    if share < least:
+        log.warning("only %.1f %% of %d links find their comment", 100 * share, n)
+    return share
+
+
 # Shorthand words of seven teams.
 TEAM_SHORTHAND = {
     "Barcelona": ["barca", "fcb"],

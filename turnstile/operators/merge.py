@@ -18,14 +18,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], refreshed_at:
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target plus the source rows whose key is new; of repeated source keys the first by all columns stays."""
+    """Target plus the source rows whose key is new."""
+    return target.unionByName(new_rows(target, source, keys), allowMissingColumns=True)
+
+
+def new_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The source rows that insert_ignore adds, for their count; of repeated source keys the first by all columns."""
     rest = [c for c in source.columns if c not in keys]
     one = source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else source.dropDuplicates(keys)
-    return target.unionByName(one.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return one.join(target.select(*keys), keys, "left_anti")
 
 
 def swap_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside the table, then rename over it, so that readers see the old rows or the new ones."""
+    """Write beside the table, then rename the old one away and the new one in; readers that open the table between
+    the two renames find none and have to try again."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     df.write.parquet(new)

@@ -76,6 +76,15 @@ UNION ALL SELECT segment, 'Volatility', round(v, 6) FROM base UNION ALL SELECT s
     "football_blend": f"SELECT match_id, {R('engagement_score_football_norm')} AS football_norm, {R('engagement_score_fans')} AS fans, fan_comment_count, {R('engagement_score_combined')} AS combined FROM {{combined}}",
     "engagement_rank": f"SELECT rank, match_id, {R('engagement_score_combined')} AS combined, score_str FROM {{ranking}}",
     "author_features": f"SELECT author, comment_frequency, {R('avg_sentiment')} AS avg_sentiment, {R('sentiment_volatility')} AS sentiment_volatility, engagement_activity, matches_covered, {R('positive_ratio')} AS positive_ratio, primary_subreddit FROM {{fan_segments}}",
+    "describe_sentiment": "SELECT count(sentiment) AS n, round(avg(sentiment), 6) AS mean, round(stddev_samp(sentiment), 6) AS std, min(sentiment) AS lowest, "
+    + ", ".join(f"round(percentile_cont({q / 100}) WITHIN GROUP (ORDER BY sentiment), 6) AS p{q}" for q in (25, 50, 75))
+    + ", max(sentiment) AS highest FROM {comments}",
+    "daily_mean": "SELECT CAST(date_trunc('day', {from_epoch}) AS DATE) AS day, count(*) AS comments, round(avg(sentiment), 6) AS avg_sentiment FROM {comments} GROUP BY 1",
+    "divergence_top5": _divergence("ORDER BY round(engagement_score_fans - engagement_score_football_norm, 9) DESC, match_id LIMIT 5"),
+    "divergence_bottom5": _divergence("ORDER BY round(engagement_score_fans - engagement_score_football_norm, 9), match_id LIMIT 5"),
+    "link_sample": "SELECT match_id, comment_id, link_confidence, link_reasons FROM {links} ORDER BY link_confidence DESC, match_id, comment_id LIMIT 20",
+    "team_list": "SELECT DISTINCT team FROM (SELECT home_team AS team FROM {matches} UNION ALL SELECT away_team AS team FROM {matches})",
+    "gen1_social": "SELECT match_id, count(*) AS comment_volume, CAST(sum(score) AS BIGINT) AS upvote_total, count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_comments, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_comments FROM {enriched} GROUP BY match_id",
     "peak_hour": "SELECT match_id, peak_hour_count FROM {match_features}",
 }
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from turnstile.operators.linking import LinkerOptions, LinkingConfig, link
+
 
 def tumbling_counts(comments: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Comments and mean score a community and window; rows later than the watermark are dropped."""
@@ -14,6 +16,11 @@ def tumbling_counts(comments: DataFrame, every: str = "1 hour", late: str = "2 h
     return per.select(F.col("window.start").alias("start"), "subreddit", "comments", "avg_score")
 
 
+def linked(comments: DataFrame, fixtures: DataFrame, config: LinkingConfig, options: LinkerOptions = LinkerOptions()) -> DataFrame:
+    """The linker over a stream of comments and a table of fixtures: a stream-static interval join without state."""
+    return link(comments, fixtures, config, options)
+
+
 def deduplicated(comments: DataFrame, late: str = "2 hours") -> DataFrame:
     return comments.withColumn("at", F.timestamp_seconds("created_utc")).withWatermark("at", late).dropDuplicatesWithinWatermark(["id"]).drop("at")
 
