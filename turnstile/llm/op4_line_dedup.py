@@ -3,7 +3,7 @@
 A line's set holds the 64-bit hashes of its distinct words, A-Z lowered.  Tokens are ordered by rarity, read from a
 fixed-size histogram of all lines (any one global order is exact).  Two sets at Jaccard >= t share a token among their
 n - ceil(t n) + 1 rarest ones; those prefixes meet by token, where the length filter, the positional filter and a
-96-bit parity bitmap leave few pairs; these are verified on whole sets.  (A bit counts the set's tokens of one hash
+96-bit parity bitmap leave few pairs; these are verified on the words themselves.  (A bit counts the set's tokens of one hash
 class modulo two, so two bitmaps differ in at most as many bits as the sets differ in tokens, however long the lines.)
 Lines are ordered by (doc_id, line number).  A line goes if an earlier line of the corpus has an equal set, or is
 similar to it, whether or not that earlier line itself stays.
@@ -47,6 +47,8 @@ SPLIT_AT = 50_000
 GATHER = 100_000
 #: Pairs whose filters are computed at a time.
 PAIR_BLOCK = 1 << 18
+#: Crowded tokens whose numbers of cells are sent to every task (16 bytes each); more are joined.
+FEW_TOKENS = 100_000
 #: Sizes and places from here on are not told apart; the filters let them pass.
 LARGE = 0xFFFF
 
@@ -374,11 +376,11 @@ def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, wi
     crowded = found.filter("kind = 1")
     if crowded.limit(1).count():
         key = F.shiftright("head", 32)
-        # Once more one row a set; then a token's sets are dealt to pairs of salts, so that each two meet in one cell.
-        sets = crowded.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(_POST)))
-        sets = cm.materialise(sets.groupBy("head", "name", "low").agg(F.min(F.struct("doc_id", "tail")).alias("first")).select("head", "first.doc_id", "first.tail", "name", "low"))
-        salts = sets.groupBy(key.alias("of")).agg(F.ceil(F.count("*") / split_at).alias("salts"))
-        dealt = sets.join(salts, key == F.col("of")).withColumn("own", F.pmod(F.xxhash64("name"), "salts"))
+        # A token's sets are dealt to pairs of salts, so that each two of them meet in one cell.
+        posts = crowded.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(_POST)))
+        salts = cm.materialise(posts.groupBy(key.alias("of")).agg(F.ceil(F.count("*") / split_at).alias("salts")))
+        few = salts.count() <= FEW_TOKENS
+        dealt = posts.join(F.broadcast(salts) if few else salts, key == F.col("of")).withColumn("own", F.pmod(F.xxhash64("name"), "salts"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
         dealt = dealt.select(*_POST, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
         cells = dealt.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "head")
@@ -389,35 +391,36 @@ def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, wi
     return out
 
 
-def _line_sets(min_tokens: int, mask: bytes):
-    """The token sets of the lines that the mask holds."""
+def _line_texts(mask: bytes):
+    """The bytes of the lines that the mask holds."""
 
     def run(batches):
         bits = cm.open_mask(mask)
         for batch in batches:
             ids = batch["doc_id"]
             for chunk in tv.chunks(batch["text"]):
-
-                def asked(owner, hashes, row, number, of=ids.slice(chunk.lo, chunk.rows)):
-                    own = of.take(pa.array(row))
-                    return cm.in_mask(bits, [own, pa.array(number)]) & own.is_valid().to_numpy(zero_copy_only=False)
-
-                x = _Lines(chunk, None, min_tokens, asked)
-                if len(x.row):
-                    sets = [np.sort(x.tokens_of(i)).tobytes() for i in range(len(x.row))]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row + chunk.lo)), pa.array(x.number, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "tokens"])
+                line = tv.lines(chunk)
+                number = np.arange(len(line.row)) - line.first[line.row]
+                own = ids.take(pa.array(line.row + chunk.lo))
+                take = np.flatnonzero(cm.in_mask(bits, [own, pa.array(number)]) & own.is_valid().to_numpy(zero_copy_only=False))
+                if len(take):
+                    data = chunk.data.tobytes()
+                    texts = [data[x:y] for x, y in zip(line.start[take].tolist(), line.end[take].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(take)), pa.array(number[take], pa.int32()), pa.array(texts, pa.binary())], names=["doc_id", "line", "words"])
 
     return run
 
 
 def _similar(pct: int):
+    """bytes.lower and bytes.split know ASCII alone: the words are those of the join, compared as they stand."""
+
     def run(batches):
         for batch in batches:
             hit = []
-            for i, (a, b) in enumerate(zip(batch["tokens"], batch["by_tokens"], strict=True)):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= pct * (len(x) + len(y) - both):
+            for i, (a, b) in enumerate(zip(batch["words"].to_pylist(), batch["by_words"].to_pylist(), strict=True)):
+                x, y = set(a.lower().split()), set(b.lower().split())
+                both = len(x & y)
+                if both and 100 * both >= pct * (len(x) + len(y) - both):
                     hit.append(i)
             if hit:
                 at = pa.array(hit)
@@ -426,24 +429,17 @@ def _similar(pct: int):
     return run
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
-    """(doc_id, line) of the pairs' lines that are similar to the earlier line beside them."""
-    by = sets.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("tokens").alias("by_tokens"))
-    both = pairs.join(sets, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "tokens", "by_tokens")
-    return cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
-
-
-def _settled(docs: DataFrame, found: DataFrame, pct: int, min_tokens: int) -> DataFrame:
-    """Lines of found that one of their candidates is similar to: the nearest is tried first, then all others."""
-    ends = found.select("doc_id", "line").unionByName(found.select(F.explode("near").alias("by")).select(F.col("by.by_doc").alias("doc_id"), F.col("by.by_line").alias("line")).distinct())
+def _settled(docs: DataFrame, found: DataFrame, pct: int) -> DataFrame:
+    """(doc_id, line) of the lines of found that one of their candidates is similar to."""
+    pairs = found.select("doc_id", "line", F.explode("near").alias("by")).select("doc_id", "line", "by.by_doc", "by.by_line")
+    ends = found.select("doc_id", "line").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line")).distinct())
     some = cm.masked(docs, cm.member_mask(ends.select("doc_id").distinct()), "doc_id")
-    sets = cm.materialise(some.mapInArrow(_line_sets(min_tokens, cm.member_mask(ends)), "doc_id long, line int, tokens binary"))
-    pair = ["doc_id", "line", "by.by_doc", "by.by_line"]
-    first = _verified(sets, found.select("doc_id", "line", F.element_at("near", 1).alias("by")).select(*pair), pct)
-    rest = found.filter(F.size("near") > 1).join(first, ["doc_id", "line"], "left_anti")
-    others = _verified(sets, rest.select("doc_id", "line", F.explode(F.slice("near", 2, F.size("near") - 1)).alias("by")).select(*pair), pct)
-    cm.discard(sets)
-    return first.unionByName(others)
+    texts = cm.materialise(some.mapInArrow(_line_texts(cm.member_mask(ends)), "doc_id long, line int, words binary"))
+    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("words").alias("by_words"))
+    both = pairs.join(texts, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "words", "by_words")
+    out = cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
+    cm.discard(texts)
+    return out
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS, witnesses: int = WITNESSES, split_at: int = SPLIT_AT, hist_bits: int = cm.HIST_BITS) -> DataFrame:
@@ -461,7 +457,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, min_tokens: int = MIN_TOKENS
     asked = _candidates(docs, hist, pct, min_tokens, witnesses, split_at)
     similar = []
     while True:
-        similar.append(_settled(docs, asked, pct, min_tokens))
+        similar.append(_settled(docs, asked, pct))
         unsettled = cm.materialise(asked.filter(F.size("more") > 0).join(similar[-1], ["doc_id", "line"], "left_anti").select("doc_id", "line", "more"))
         cm.discard(asked)
         if not unsettled.limit(1).count():
