@@ -38,8 +38,9 @@ NEAR = 48
 #: Sets under one gram that a single sort key takes before it is salted; at least one in HEAVY of all documents.
 SALT_AT = 200_000
 HEAVY = 4096
-#: A gram is counted in those Arrow batches where at least one in so many documents holds it.
-SEEN_OFTEN = 256
+#: Grams are counted so many at a time, by name only where at least one in SEEN_OFTEN of those documents holds the gram.
+COUNT_GRAMS = 500_000
+SEEN_OFTEN = 64
 
 
 def _sets(batches, n: int, id_col: str = "doc_id"):
@@ -73,8 +74,21 @@ def _profile(n: int, hist_bits: int):
     def run(batches):
         counts = np.zeros(1 << hist_bits, dtype=np.uint32)
         seen: set[int] = set()
+
+        def counted(heap):
+            grams = np.sort(np.concatenate(heap))
+            np.add.at(counts, cm.bucket(grams, len(counts)), np.uint32(1))
+            start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            times = np.diff(np.append(start, len(grams)))
+            often = np.flatnonzero(times >= max(2, len(heap) // SEEN_OFTEN))
+            k = len(often)
+            if k:
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(grams[start[often]].view(np.int64)), none, pa.array(times[often], pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
+
         for batch in batches:
-            sizes, sigs, more, heap, maps = [], [], [], [], []
+            sizes, sigs, more, maps = [], [], [], []
+            heap, held = [], 0
             for _, _, s in _sets([batch], n):
                 sizes.append(len(s))
                 sigs.append(_signature(s))
@@ -83,18 +97,14 @@ def _profile(n: int, hist_bits: int):
                 if sigs[-1] not in seen:
                     seen.add(sigs[-1])
                     heap.append(s)
+                    held += len(s)
+                    if held > COUNT_GRAMS:
+                        yield from counted(heap)
+                        heap, held = [], 0
+            if heap:
+                yield from counted(heap)
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.int64()), pa.array(more, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-            if heap:
-                grams = np.sort(np.concatenate(heap))
-                np.add.at(counts, cm.bucket(grams, len(counts)), np.uint32(1))
-                start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-                times = np.diff(np.append(start, len(grams)))
-                often = np.flatnonzero(times >= max(2, rows // SEEN_OFTEN))
-                if len(often):
-                    k = len(often)
-                    none = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(grams[start[often]].view(np.int64)), none, pa.array(times[often], pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
         slices, blobs = cm.hist_rows(counts)
         none = pa.nulls(len(slices), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(slices), pa.binary()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
