@@ -84,7 +84,7 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-#: Bits of a membership mask: 16 a key, between 64 KB and 16 MB.
+#: Bits of a membership mask: 64 a key at least, between 64 KB and 16 MB.
 MASK_BITS = (19, 27)
 
 
@@ -99,11 +99,11 @@ def member_mask(keys: DataFrame) -> bytes:
     """A mask that holds every row of keys (long or int columns), and now and then another key.
 
     It only lets rows skip a shuffle; an exact join decides on those it lets through.  Its size follows the number of
-    keys up to 16 MB (134 million bits); beyond some ten million keys it lets more and more through, never less.  Each
+    keys up to 16 MB (134 million bits); beyond some million keys it lets more and more through, never less.  Each
     task sends its own bits; they are united by slice before they reach the driver.
     """
     names = keys.columns
-    size = min(MASK_BITS[1], max(MASK_BITS[0], (16 * keys.count()).bit_length()))
+    size = min(MASK_BITS[1], max(MASK_BITS[0], (64 * keys.count()).bit_length()))
 
     def own(batches):
         bits = np.zeros((1 << size) // 8, dtype=np.uint8)

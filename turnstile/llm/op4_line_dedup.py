@@ -42,7 +42,7 @@ MIN_TOKENS = 1
 WITNESSES = 4
 MORE = 256
 #: Different sets under one token that one task compares.
-SPLIT_AT = 50_000
+SPLIT_AT = 100_000
 #: Postings looked at together; bounds a task's memory along with SPLIT_AT.
 GATHER = 100_000
 #: Pairs whose filters are computed at a time.
