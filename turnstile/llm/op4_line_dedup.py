@@ -391,12 +391,13 @@ def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, wi
     return out
 
 
-def _line_texts(mask: bytes):
-    """The bytes of the lines that the mask holds."""
+def _line_texts(documents: bytes, mask: bytes):
+    """The bytes of the lines that the mask holds, in the documents that their mask holds."""
 
     def run(batches):
-        bits = cm.open_mask(mask)
+        of_docs, bits = cm.open_mask(documents), cm.open_mask(mask)
         for batch in batches:
+            batch = batch.filter(pa.array(cm.in_mask(of_docs, [batch["doc_id"]])))
             ids = batch["doc_id"]
             for chunk in tv.chunks(batch["text"]):
                 line = tv.lines(chunk)
@@ -433,10 +434,13 @@ def _settled(docs: DataFrame, found: DataFrame, pct: int) -> DataFrame:
     """(doc_id, line) of the lines of found that one of their candidates is similar to."""
     pairs = found.select("doc_id", "line", F.explode("near").alias("by")).select("doc_id", "line", "by.by_doc", "by.by_line")
     ends = found.select("doc_id", "line").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line")).distinct())
-    some = cm.masked(docs, cm.member_mask(ends.select("doc_id").distinct()), "doc_id")
-    texts = cm.materialise(some.mapInArrow(_line_texts(cm.member_mask(ends)), "doc_id long, line int, words binary"))
-    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("words").alias("by_words"))
-    both = pairs.join(texts, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "words", "by_words")
+    documents = cm.member_mask(ends.select("doc_id").distinct())
+    texts = cm.materialise(docs.mapInArrow(_line_texts(documents, cm.member_mask(ends)), "doc_id long, line int, words binary"))
+    # Both sides read the same columns of the same table, so that it is dealt out once.
+    x, y = texts.alias("x"), texts.alias("y")
+    both = pairs.alias("p").join(x, (F.col("p.doc_id") == F.col("x.doc_id")) & (F.col("p.line") == F.col("x.line")))
+    both = both.join(y, (F.col("by_doc") == F.col("y.doc_id")) & (F.col("by_line") == F.col("y.line")))
+    both = both.select("p.doc_id", "p.line", F.col("x.words").alias("words"), F.col("y.words").alias("by_words"))
     out = cm.materialise(both.mapInArrow(_similar(pct), "doc_id long, line int").distinct())
     cm.discard(texts)
     return out
