@@ -111,10 +111,10 @@ def test_candidates_of_a_large_group_stay_small():
 
     n = 12_000
     rng = np.random.default_rng(1)
-    head = np.full(n, (7 << 32) | (40 << 16) | 3)
+    head = (7 << 32) | rng.integers(0, 1 << 32, n)
     low = np.zeros(n, np.int64) ^ (np.int64(1) << rng.integers(0, 20, n))
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    out = op4._nearest([head, np.arange(n), np.zeros(n, np.int64), rng.integers(0, 1 << 62, n), low], 80, 4, None)
+    out = op4._nearest([head, low, np.full(n, (40 << 16) | 3), np.arange(n), np.zeros(n, np.int64)], 80, 4, None)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
     assert out.num_rows == sum(min(4, i) for i in range(n))
 

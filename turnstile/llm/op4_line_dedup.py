@@ -142,8 +142,9 @@ def _profile(min_tokens: int, hist_bits: int):
     return run
 
 
-#: head: 32 bits of the token, size and place in the set, 16 bits each; tail: line number and 32 parities.
-_POST = ["head", "doc_id", "tail", "name", "low"]
+#: head: 32 bits of the token and of the set's name; low, rest: 64 and 32 parities, and the size and the place in the
+#: set, 16 bits each.  96 parities and 32 bits name a set.  Long runs of zeros stand together, which packs well.
+_POST = ["head", "low", "rest", "doc_id", "line"]
 _POST_SQL = ", ".join(f"{c} long" for c in _POST)
 
 
@@ -188,22 +189,25 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, mask: bytes | None =
                 if bits is not None:
                     asked = cm.in_mask(bits, [pa.array(key)])
                     owner, at, key = owner[asked], at[asked], key[asked]
-                head = key << 32 | np.minimum(size, LARGE)[owner] << 16 | np.minimum(at, LARGE)
-                tail = x.number[take] << 32 | high
-                yield cm.record_batch(_POST, [head, ids[rows[take]].astype(np.int64)[owner], tail[owner], name[take][owner], low[owner]], [pa.int64()] * 5)
+                head = key << 32 | (name[take] & 0xFFFFFFFF)[owner]
+                rest = (high << 32 | np.minimum(size, LARGE) << 16)[owner] | np.minimum(at, LARGE)
+                yield cm.record_batch(_POST, [head, low[owner], rest, ids[rows[take]].astype(np.int64)[owner], x.number[take][owner]], [pa.int64()] * 5)
 
     return run
 
 
 def _firsts(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Postings by (head, name), those of equal sets reduced to the earliest line's."""
-    head, doc, tail, name, low = cols[:5]
-    order = np.lexsort((name, head))
-    same = (head[order][1:] == head[order][:-1]) & (name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1])
-    if same.any():
-        order = np.lexsort((tail, doc, low, name, head))
-        same = (head[order][1:] == head[order][:-1]) & (name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1])
-        order = order[np.append(True, ~same)]
+    """Postings by token, size, place and name, those of equal sets reduced to the earliest line's."""
+    head, low, rest, doc, line = cols[:5]
+    stand, name = head >> 32 << 32 | rest & 0xFFFFFFFF, head & 0xFFFFFFFF
+
+    def same(order):
+        return np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (head, rest, low)])
+
+    order = np.lexsort((name, stand))
+    if same(order).any():
+        order = np.lexsort((line, doc, rest, low, name, stand))
+        order = order[np.append(True, ~same(order))]
     return [c[order] for c in cols]
 
 
@@ -213,9 +217,8 @@ def _nearest(cols: list[np.ndarray], pct: int, witnesses: int, asked: np.ndarray
     cols may end with a cell's two salts and the row's own: then only pairs are made that no other cell makes.
     """
     cols = _firsts(cols)
-    head, doc, tail, name, low = cols[:5]
-    key, n, at = head >> 32, head >> 16 & 0xFFFF, head & 0xFFFF
-    line, high = tail >> 32, tail & 0xFFFFFFFF
+    head, low, rest, doc, line = cols[:5]
+    key, high, n, at = head >> 32, rest >> 32 & 0xFFFFFFFF, rest >> 16 & 0xFFFF, rest & 0xFFFF
     rows = np.arange(len(key))
     group = np.append(0, np.cumsum(key[1:] != key[:-1]))
     lo = np.searchsorted(group << 17 | n, group << 17 | -(-pct * n // 100))
@@ -380,7 +383,7 @@ def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, wi
         posts = crowded.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(_POST)))
         salts = cm.materialise(posts.groupBy(key.alias("of")).agg(F.ceil(F.count("*") / split_at).alias("salts")))
         few = salts.count() <= FEW_TOKENS
-        dealt = posts.join(F.broadcast(salts) if few else salts, key == F.col("of")).withColumn("own", F.pmod(F.xxhash64("name"), "salts"))
+        dealt = posts.join(F.broadcast(salts) if few else salts, key == F.col("of")).withColumn("own", F.pmod(F.xxhash64("low"), "salts"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
         dealt = dealt.select(*_POST, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
         cells = dealt.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "head")
