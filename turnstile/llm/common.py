@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -84,6 +86,21 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, handing what it freed back to the system at its end: Spark keeps idle Python workers for a minute."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError, TypeError):
+                # glibc alone has it; elsewhere the allocator decides.
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 #: Bits of a membership mask: 64 a key at least, between 64 KB and 16 MB.
 MASK_BITS = (19, 27)
 
@@ -125,7 +142,7 @@ def member_mask(keys: DataFrame) -> bytes:
     out = np.zeros((1 << size) // 8, dtype=np.uint8)
     width = len(out) // HIST_SLICES
     schema = "slice int, bits binary"
-    for k, blob in keys.mapInArrow(own, schema).repartition(HIST_SLICES, "slice").mapInArrow(unite, schema).collect():
+    for k, blob in keys.mapInArrow(tidy(own), schema).repartition(HIST_SLICES, "slice").mapInArrow(tidy(unite), schema).collect():
         out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint8)
     return zlib.compress(out.tobytes(), 1)
 
@@ -149,7 +166,7 @@ def masked(df: DataFrame, mask: bytes, key: str, inside: bool = True) -> DataFra
             hit = in_mask(bits, [ids]) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit if inside else ~hit))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,7 +225,7 @@ def merge_hist(slices: DataFrame, bits: int = HIST_BITS) -> np.ndarray:
 
     out = np.zeros(1 << bits, dtype=np.uint8)
     width = len(out) // HIST_SLICES
-    merged = slices.repartition(HIST_SLICES, "slice").mapInArrow(merge, "slice int, counts binary")
+    merged = slices.repartition(HIST_SLICES, "slice").mapInArrow(tidy(merge), "slice int, counts binary")
     for k, blob in merged.collect():
         out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint8)
     return out

@@ -139,7 +139,7 @@ def _profile(min_tokens: int, hist_bits: int):
             n = len(name[part])
             yield pa.RecordBatch.from_arrays([pa.array(name[part], mask=later[part]), pa.array(name2[part], mask=later[part]), pa.array(doc[part]), pa.array(line[part]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
 
-    return run
+    return cm.tidy(run)
 
 
 #: head: 32 bits of the token and of the set's name; low, rest: 64 and 32 parities, and the size and the place in the
@@ -193,7 +193,7 @@ def _postings(hist: np.ndarray, pct: int, min_tokens: int, mask: bytes | None =
                 rest = (high << 32 | np.minimum(size, LARGE) << 16)[owner] | np.minimum(at, LARGE)
                 yield cm.record_batch(_POST, [head, low[owner], rest, ids[rows[take]].astype(np.int64)[owner], x.number[take][owner]], [pa.int64()] * 5)
 
-    return run
+    return cm.tidy(run)
 
 
 def _firsts(cols: list[np.ndarray]) -> list[np.ndarray]:
@@ -341,7 +341,7 @@ def _meet(pct: int, witnesses: int, split_at: int, mask: bytes | None):
             if out is not None:
                 yield out
 
-    return run
+    return cm.tidy(run)
 
 
 def _meet_in_cells(pct: int, witnesses: int, mask: bytes | None):
@@ -368,7 +368,7 @@ def _meet_in_cells(pct: int, witnesses: int, mask: bytes | None):
             if out is not None:
                 yield out
 
-    return run
+    return cm.tidy(run)
 
 
 def _candidates(docs: DataFrame, hist: np.ndarray, pct: int, min_tokens: int, witnesses: int, split_at: int, tokens: bytes | None = None, lines: bytes | None = None) -> DataFrame:
@@ -412,7 +412,7 @@ def _line_texts(documents: bytes, mask: bytes):
                     texts = [data[x:y] for x, y in zip(line.start[take].tolist(), line.end[take].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([own.take(pa.array(take)), pa.array(number[take], pa.int32()), pa.array(texts, pa.binary())], names=["doc_id", "line", "words"])
 
-    return run
+    return cm.tidy(run)
 
 
 def _similar(pct: int):
@@ -430,7 +430,7 @@ def _similar(pct: int):
                 at = pa.array(hit)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["line"].take(at)], names=["doc_id", "line"])
 
-    return run
+    return cm.tidy(run)
 
 
 def _settled(docs: DataFrame, found: DataFrame, pct: int) -> DataFrame:

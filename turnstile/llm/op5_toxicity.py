@@ -62,7 +62,7 @@ def _collect_features(docs: DataFrame, ids: DataFrame, keep: np.ndarray) -> list
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["features"])
 
     one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = one.select("text").mapInArrow(run, "features binary")
+    rows = one.select("text").mapInArrow(cm.tidy(run), "features binary")
     return [np.frombuffer(bytes(r[0]), dtype=np.int32) for r in rows.toLocalIterator()]
 
 
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, out: str = "s
             yield batch.set_column(at, out, found) if at < batch.num_columns else batch.append_column(out, found)
 
     at = next((k for k, c in enumerate(docs.columns) if c.lower() == out.lower()), len(docs.columns))
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
+    return docs.mapInArrow(cm.tidy(run), docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

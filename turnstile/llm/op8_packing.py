@@ -111,7 +111,7 @@ def _packs(capacity: int, per_source: int):
         if rows:
             yield flush()
 
-    return run
+    return cm.tidy(run)
 
 
 def word_count(text: Column) -> Column:

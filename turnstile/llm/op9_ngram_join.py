@@ -109,7 +109,7 @@ def _profile(n: int, hist_bits: int):
         none = pa.nulls(len(slices), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(slices), pa.binary()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    return run
+    return cm.tidy(run)
 
 
 def _heavy(scan: DataFrame, salt_at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def _postings(n: int, pct: int, hist: np.ndarray, heavy: tuple[np.ndarray, np.nd
             if keys:
                 yield cm.record_batch(names, [np.concatenate(x) for x in (keys, salts, sizes, sigs)], types)
 
-    return run
+    return cm.tidy(run)
 
 
 def _band(n: np.ndarray, pct: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def _neighbours(pct: int, slack: int, near: int):
             # A window of more rows than near is tied as a whole, which the last of them show as well as all.
             carried = [x[max(min(int(lo[-1]), len(rows) - 1), len(rows) - near - 1) :] for x in cols]
 
-    return run
+    return cm.tidy(run)
 
 
 _KINDS = "kind int, a long, b long, n long"
@@ -286,7 +286,7 @@ def _tiles(n: int, pct: int):
             sets.append(s)
         yield from flush(ids, sets)
 
-    return run
+    return cm.tidy(run)
 
 
 def _folded(bits: bytes, to: int) -> np.ndarray:
@@ -310,7 +310,7 @@ def _possible(pct: int):
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
 
-    return run
+    return cm.tidy(run)
 
 
 def _bounded(pairs: DataFrame, heads: DataFrame, pct: int) -> DataFrame:
