@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from turnstile.functions.exprs import mean
 from turnstile.operators import evaluation, metrics
 
 # match_id, rivalry, total goals, goal events, comments, weighted, mean, deviation, communities, fan score, combined, rank.
@@ -59,3 +60,21 @@ def test_affect_modes(spark, mode, want):
     links = spark.createDataFrame([(1, "a", 0.6, 0, "s"), (1, "b", 0.6, 0, "s"), (1, "c", 0.6, 0, "s")], "match_id long, comment_id string, link_confidence double, created_utc long, subreddit string")
     scored = spark.createDataFrame([("a", 0.5, 4), ("a", 0.5, 4), ("b", 0.0, -3), ("c", None, 1)], "id string, sentiment double, score int")
     assert metrics.aggregate_per_match(links, scored, mode).first().avg_sentiment == want
+
+
+def test_mean_of_a_fixture_that_falls_on_a_tie(spark):
+    """Sums of these doubles miss the mean by a bit in whatever order they come."""
+    links = spark.range(64).selectExpr("1L AS match_id", "id AS comment_id", "0.6D AS link_confidence", "0L AS created_utc", "'s' AS subreddit")
+    scored = spark.range(64).selectExpr("id", "IF(id < 3, 0.98D, 0.8D) AS sentiment", "0 AS score")
+    for mode in ("mean", "weighted_mean"):
+        assert metrics.aggregate_per_match(links, scored, mode).first().avg_sentiment == 0.8084375
+
+
+def test_mean_out_of_range(spark):
+    """Beyond the digits of the exact sum, and with NaN, the plain average stands; nulls do not count."""
+    values = {"tiny": [1e-30, 3e-30], "huge": [1e300, 1e300], "sum": [9e9] * 100, "nan": [0.5, float("nan")], "null": [None, None], "some": [None, 0.1, 0.2], "zero": [0.0, -0.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = dict(df.groupBy("k").agg(mean(F.col("v"))).collect())
+    assert got.pop("tiny") == pytest.approx(2e-30)
+    assert str(got.pop("nan")) == "nan"
+    assert got == {"huge": 1e300, "sum": 9e9, "null": None, "some": 0.15, "zero": 0.0}
