@@ -86,3 +86,11 @@ def test_no_python_in_the_linker_plan(spark, fixtures):
     rows = spark.createDataFrame([("1", "barca", "soccer", EPOCH)], "id string, body string, subreddit string, created_utc long")
     plan = linking.link(rows, fixtures, CONFIG)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+def test_first_match_is_sent_by_pairs_of_teams(spark):
+    """Of 5,000 fixtures of two pairs the first of each pair is looked at, the lowest match_id at the same ordinal."""
+    fixtures = spark.range(5_000).selectExpr("id % 50 AS ordinal", "id AS match_id", "IF(id % 50 < 7, 'Real United', 'Lower Valley') AS home_team", "'Inter City' AS away_team")
+    items = spark.createDataFrame([("a", "lower intercity"), ("b", "united and inter"), ("c", "united in the valley with inter"), ("d", "lower")], "external_id string, comment string")
+    out = linking.first_match(items, fixtures)
+    assert {r.external_id: r.match_id for r in out.collect()} == {"a": 7, "b": 0, "c": 0, "d": None}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
