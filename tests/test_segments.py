@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,37 @@ def test_mean_of_an_author_that_falls_on_a_tie(spark):
     """Sums of these doubles miss the mean by a bit in whatever order they come."""
     rows = spark.range(64).selectExpr("'a' AS author", "'s' AS subreddit", "id AS match_id", "1 AS score", "IF(id < 3, 0.98D, 0.8D) AS sentiment")
     assert segments.author_features(rows).first().avg_sentiment == 0.8084375
+
+
+def test_restarts_run_side_by_side_on_few_pieces(points, monkeypatch):
+    """The ten fits start before the first one ends, and forty points are one piece of work, not one for each partition."""
+    seen = []
+
+    class Fit:
+        def __init__(self, seed, **_):
+            self.seed = seed
+
+        def fit(self, data):
+            seen.append((self.seed, data.rdd.getNumPartitions()))
+            ready.wait(60)
+            return self
+
+        def transform(self, df):
+            return df.withColumn("cluster", F.lit(self.seed))
+
+        summary = property(lambda self: type("Summary", (), {"trainingCost": abs(self.seed - 43)}))
+
+    ready = threading.Barrier(2)
+    monkeypatch.setattr(segments, "KMeans", Fit)
+    assert {r.cluster for r in segments.kmeans(points.repartition(16), ["x", "y"], 4).collect()} == {43}
+    assert sorted(seen) == [(seed, 1) for seed in range(42, 52)]
+
+
+def test_silhouette_in_a_grid_of_cells(points, monkeypatch):
+    """The same value whatever the cells and blocks, one row a point, cluster and column of cells between them."""
+    v = points.withColumn("v", F.array("x", "y"))
+    want = segments.silhouette(v, "author", "v", "truth").first()[0]
+    monkeypatch.setattr(segments, "CELL_ROWS", 9)
+    got = segments.silhouette(v, "author", "v", "truth", block_rows=3)
+    assert got.first()[0] == pytest.approx(want, abs=1e-12)
+    assert "Cartesian" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
